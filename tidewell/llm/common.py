@@ -11,11 +11,6 @@ Conventions every operator of this subpackage keeps:
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.sources.stages import staged  # noqa: F401
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: bytes that end a word
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
@@ -50,25 +47,6 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where that is unset, as in tests, a temporary folder that this process removes."""
-    base = spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        base = os.environ.get("TIDEWELL_STAGES") or ""
-        if not base:
-            base = os.environ["TIDEWELL_STAGES"] = tempfile.mkdtemp(prefix="tidewell-")
-            atexit.register(shutil.rmtree, base, True)
-    return base.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder as Parquet and read again: lineage ends here, nothing upstream runs twice."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stages/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

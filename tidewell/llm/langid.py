@@ -188,3 +188,18 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(np.where(np.array(langs) == UNKNOWN, 0.0, scores))], names=[id_col, "lang_pred", "score"])
 
     return rows.mapInArrow(run, f"{id_col} {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text has a language."""
+    names, at = docs.columns, docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            langs, _ = model.predict(*buffer_of(part.column(at)))
+            keep = [lang != UNKNOWN and any(map(str.isalpha, x or "")) for lang, x in zip(langs, part.column(at).to_pylist(), strict=True)]
+            if model.family is None:  # nothing learned, nothing rejected but texts without a letter
+                keep = [any(map(str.isalpha, x or "")) for x in part.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in part.columns], names=names)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -124,7 +124,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), total: float = 1.
     """One row for each row of docs: id, size, source_size, target, copies (times the mix takes it), taken (words it takes). ``carry``: more columns of docs to return."""
     size: Column = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     more = [F.col(c).alias(f"more_{i}") for i, c in enumerate(carry)]
-    sized = staged(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *more), "sizes")
+    # ids as text, as pandas would turn whole numbers with a null among them into floats
+    id_type = docs.schema[id_col].dataType
+    sized = staged(docs.select(F.col(id_col).cast("string").alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *more), "sizes")
     goal = staged(targets(sized, weights, total, cap), "targets").withColumnRenamed("source", "_s")
     rated = sized.join(goal, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rate = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -133,4 +135,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), total: float = 1.
     settled = rated.where(~open_).withColumn("pi", F.lit(0.0))
     out = settled.unionByName(cube(rated.where(open_)))
     copies = F.col("whole") + F.col("pi").cast("long")
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *[F.col(f"more_{i}").alias(c) for i, c in enumerate(carry)])
+    return out.select(F.col("id").cast(id_type).alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *[F.col(f"more_{i}").alias(c) for i, c in enumerate(carry)])

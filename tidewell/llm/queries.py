@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, langid, mixing, quality, toxicity
+from . import bpe, exact, langid, lm, mixing, pii, quality, simhash, suffix, toxicity
 from .common import documents, fold, labels
 
 WORD_SQL = r"'[^\x20\x09-\x0D]+'"
@@ -22,20 +22,39 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), tokenizer_path(), with_ids=False)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(documents(spark, sf_dir))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = documents(spark, sf_dir), fold(F.col("doc_id"), 5) == 0
     model = toxicity.fit(docs, labels(spark, sf_dir), learn=~held)
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.deduplicate(documents(spark, sf_dir)).drop("n_chunks")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, added = F.col("base"), F.col("added")
+    found = pii.redact_spans(documents(spark, sf_dir))
+    return found.select("doc_id", *pii.counts(base), F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.array_sort(F.concat(base, added))).alias("spans"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("copies")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = lm.score(documents(spark, sf_dir), learn=fold(F.col("doc_id"), 7) != 2)
+    return got.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     forest = quality.fit(docs, labels(spark, sf_dir))
@@ -48,7 +67,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_toxicity, op5_exact_dedup, op7_mixing, op9_quality, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_suffix_dedup, op3_toxicity, op4_simhash, op5_exact_dedup, op6_pii, op7_mixing, op8_lm_scoring, op9_quality, op10_language_id)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": f"""
