@@ -91,7 +91,7 @@ class Votes:
             ws.append(w / spread / np.sqrt(x.shape[1]))
             bs.append(bias)
             units.append(max(1e-3, float(np.median(np.abs(z @ w + bias)))))
-        return cls(classes, pairs, np.array(ws, np.float32).reshape(len(pairs), -1).T.copy(), np.array(bs), np.array(units))
+        return cls(classes, pairs, np.array(ws, np.float32).reshape(len(pairs), x.shape[1]).T.copy(), np.array(bs), np.array(units))
 
     def decide(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Winner by votes, margins break ties; and its mean probability against the others."""
