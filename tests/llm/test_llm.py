@@ -87,14 +87,16 @@ def test_suffix_removal(spark, odd, none, monkeypatch, collection):
         assert suffix.remove_repeats(none).count() == 0
 
 
-def test_suffix_order():
+def test_columns_are_sorted():
     rng = random.Random(5)
-    own = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 30))) for _ in range(40)]
-    sid, size, lcp = suffix.suffix_order(own)
-    listed = [own[i][len(own[i]) - k :] for i, k in zip(sid, size, strict=True)]
-    assert listed == sorted(listed)
-    for a, b, k in zip(listed, listed[1:], lcp[1:], strict=False):
-        assert a[:k] == b[:k] and (len(a) == k or len(b) == k or a[k] != b[k])
+    own = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 30))) for _ in range(40)]
+    leads = [rng.randrange(len(x)) for x in own]
+    for c, order, lcp in suffix.columns(own, leads):
+        assert set(order.tolist()) == {i for i, x in enumerate(own) if -leads[i] <= c < len(x) - leads[i]}
+        listed = [own[i][c + leads[i] :] for i in order]
+        assert listed == sorted(listed)
+        for a, b, k in zip(listed, listed[1:], lcp[1:], strict=False):
+            assert a[:k] == b[:k] and (len(a) == k or len(b) == k or a[k] != b[k])
 
 
 def test_toxicity_learns(spark, none, odd):

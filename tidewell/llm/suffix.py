@@ -8,9 +8,10 @@ occurs again can hold repeats. Of these:
 1. identical fragments collapse into a class with its first place (an aggregate with map-side combining, so a fragment that
    a third of all documents share is one row); every later occurrence is removed outright;
 2. classes that share an anchor hash but differ, as at the edges of copied passages, are suffix-sorted: collections of at most ``COLLECTION``
-   fragments are built column by column, one symbol of each fragment a round, the order of all suffixes and their common
-   prefixes being updated in one sequential pass over the Burrows-Wheeler transform of the round before. Suffixes with a
-   common prefix of ``span`` bytes are the repeats. A collection is bounded, so its transforms are kept in memory, not in files;
+   fragments are built column by column, one symbol of each fragment a round, the order of suffixes and their common
+   prefixes being updated in one sequential pass over the Burrows-Wheeler transform of the column before. Fragments lie with their anchors
+   in one column, so only suffixes of the same column can be alike and each round sorts one suffix a fragment. Those with a
+   common prefix of ``span`` bytes are the repeats. A collection is bounded, so its transform is kept in memory, not in files;
 3. anchors with more classes than a collection holds are dealt over several; each resolves its own, and what remains first
    there meets in an aggregate keyed by the string itself.
 
@@ -33,20 +34,20 @@ from .common import buffer_of, slices, staged, utf8
 
 SPAN = 100
 ANCHOR = 32
-COLLECTION = 2048
+COLLECTION = 8192
 SEGMENT = 1 << 22
 _TABLE = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
-def fragments(text: np.ndarray, span: int = SPAN, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, width, anchor hash): strings of span bytes from start to start + width - 1 share an anchor, the leftmost least-hashed substring."""
+def fragments(text: np.ndarray, span: int = SPAN, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, width, anchor hash, anchor's offset from start): strings of span bytes from start to start + width - 1 share an anchor, the leftmost least-hashed substring."""
     n, reach = len(text), span - anchor + 1
     if n < span:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
     if n > SEGMENT + span:
         parts = [(at, fragments(text[at : at + SEGMENT + span - 1], span, anchor)) for at in range(0, n - span + 1, SEGMENT)]
-        return np.concatenate([p[0] + at for at, p in parts]), np.concatenate([p[1] for _, p in parts]), np.concatenate([p[2] for _, p in parts])
+        return np.concatenate([p[0] + at for at, p in parts]), *(np.concatenate([p[k] for _, p in parts]) for k in (1, 2, 3))
     h, size = _TABLE[text], 1
     while size < anchor:
         step = min(size, anchor - size)
@@ -63,60 +64,79 @@ def fragments(text: np.ndarray, span: int = SPAN, anchor: int = ANCHOR) -> tuple
         least = np.minimum(least[: size - reach], least[reach - size :])
     at = (least & np.uint64(0xFFFFFF)).astype(np.int64)
     starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return starts, np.diff(np.append(starts, len(at))), h[at[starts]].view(np.int64)
+    return starts, np.diff(np.append(starts, len(at))), h[at[starts]].view(np.int64), at[starts] - starts
 
 
-def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All suffixes of all strings in order: (string, length, common prefix with the one before, at most 255).
+def columns(strings: list[bytes], leads: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """From the last column to the first: (column, strings in the order of their suffixes from there, common prefix with the one before).
 
-    A round adds to each string's suffixes the one that is a symbol longer. Order by first symbol, then by the order of
-    what follows, is a stable sort of last round's list by the symbols before its suffixes, its Burrows-Wheeler transform; the
-    common prefix of two that begin alike is one more than the least between their rests.
+    Strings lie such that their anchors begin at column 0, as equal parts of theirs have equal anchors. A round puts one symbol before each
+    string's suffix: the new order is a stable sort of the last by these symbols, the column's Burrows-Wheeler transform, and the
+    common prefix of two that begin alike is one more than the least between their rests. Strings that end at a column join first,
+    as empty suffixes; those that begin after it have left.
     """
-    n, sizes = len(strings), np.array([len(s) for s in strings])
-    flat, ends = np.frombuffer(b"".join(strings), np.uint8), np.cumsum(sizes)
-    sid, length, lcp = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.uint8)
-    for _ in range(int(sizes.max(initial=0))):
-        more = np.flatnonzero(length < sizes[sid])  # the whole string has nothing before it
-        symbol = flat[ends[sid[more]] - length[more] - 1]
-        order = np.argsort(symbol, kind="stable")
-        symbol, source = symbol[order], more[order]
-        levels = [lcp]
-        while (1 << len(levels)) <= len(lcp):
-            half = 1 << (len(levels) - 1)
-            levels.append(np.minimum(levels[-1][:-half], levels[-1][half:]))
-        prefix = np.zeros(len(source), np.uint8)
+    begin = -np.array(leads, np.int64)
+    sizes = np.array([len(x) for x in strings], np.int64)
+    end, flat = begin + sizes, np.frombuffer(b"".join(strings), np.uint8)
+    base = np.cumsum(sizes) - sizes - begin
+    by_end = np.argsort(-end, kind="stable")
+    order, lcp, joined = np.zeros(0, np.int64), np.zeros(0, np.int16), 0
+    for c in range(int(end.max(initial=0)) - 1, int(begin.min(initial=0)) - 1, -1):
+        upto = joined
+        while upto < len(by_end) and end[by_end[upto]] == c + 1:
+            upto += 1
+        if upto > joined:
+            order, lcp = np.concatenate([by_end[joined:upto], order]), np.concatenate([np.zeros(upto - joined, np.int16), lcp])
+            joined = upto
+        stays = np.flatnonzero(begin[order] <= c)
+        if len(stays) < len(order):
+            lcp = np.minimum.reduceat(lcp[: stays[-1] + 1], np.concatenate([[0], stays[:-1] + 1])) if len(stays) else lcp[:0]
+            order = order[stays]
+        if not len(order):
+            continue
+        symbol = flat[base[order] + c]
+        o = np.argsort(symbol, kind="stable")
+        symbol = symbol[o]
+        fresh = np.zeros(len(o), np.int16)
         alike = np.flatnonzero(symbol[1:] == symbol[:-1]) + 1
-        first, last = source[alike - 1] + 1, source[alike]
-        width = last - first + 1
-        level = np.frexp(width)[1] - 1
-        least = np.zeros(len(alike), np.uint8)
-        for k in np.unique(level):
-            own = np.flatnonzero(level == k)
-            least[own] = np.minimum(levels[k][first[own]], levels[k][last[own] - (1 << int(k)) + 1])
-        prefix[alike] = np.minimum(least, 254) + 1
-        sid, length, lcp = np.concatenate([np.arange(n), sid[source]]), np.concatenate([np.zeros(n, np.int64), length[source] + 1]), np.concatenate([np.zeros(n, np.uint8), prefix])
-    return sid, length, lcp
-
-
-def resolve(strings: list[bytes], places: list[tuple], span: int = SPAN) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
-    """For each string the offsets whose span bytes also start earlier, by (key, start) in places; and (string, offset) of those that are first."""
+        if len(alike):
+            first, last = o[alike - 1] + 1, o[alike]
+            width = last - first + 1
+            level = np.frexp(width)[1] - 1
+            table, least = lcp, np.zeros(len(alike), np.int16)
+            for k in range(int(level.max()) + 1):
+                if k:
+                    table = np.minimum(table[: -(1 << (k - 1))], table[1 << (k - 1) :])
+                own = np.flatnonzero(level == k)
+                if len(own):
+                    least[own] = np.minimum(table[first[own]], table[last[own] - (1 << k) + 1])
+            fresh[alike] = least + 1
+        order, lcp = order[o], fresh
+        yield c, order, lcp
+
+
+def resolve(strings: list[bytes], leads: list[int], places: list[tuple], report: list[bool], span: int = SPAN) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
+    """For each string the offsets whose span bytes also start earlier, by (key, start) in places; and (string, offset) of those that are first, of strings to report."""
     keys = {k: i for i, k in enumerate(sorted({p[0] for p in places}))}
-    sid, length, lcp = suffix_order(strings)
-    long_enough = np.flatnonzero(length >= span)
-    sid, offset = sid[long_enough], np.array([len(s) for s in strings])[sid[long_enough]] - length[long_enough]
-    group = np.cumsum(lcp[long_enough] < span)
-    place = np.array([keys[p[0]] for p in places], np.int64)[sid] << 40 | np.array([p[1] for p in places], np.int64)[sid] + offset
-    order = np.lexsort((place, group))
-    first = np.zeros(len(order), bool)
-    first[order] = np.concatenate([[True], group[order][1:] != group[order][:-1]]) if len(order) else []
-    gone = ~first
-    return [np.sort(offset[gone & (sid == i)]) for i in range(len(strings))] if len(strings) < 64 else _by_string(sid[gone], offset[gone], len(strings)), list(zip(sid[first].tolist(), offset[first].tolist(), strict=True))
-
-
-def _by_string(sid: np.ndarray, offset: np.ndarray, n: int) -> list[np.ndarray]:
+    at = np.array([keys[p[0]] for p in places], np.int64) << 40 | np.array([p[1] for p in places], np.int64)
+    begin, sizes, wanted = -np.array(leads, np.int64), np.array([len(x) for x in strings], np.int64), np.array(report, bool)
+    gone_of, gone_at, firsts = [], [], []
+    for c, order, lcp in columns(strings, leads):
+        whole = np.flatnonzero(begin[order] + sizes[order] - c >= span)
+        if not len(whole):
+            continue
+        own, shared = order[whole], lcp[whole] >= span  # between two whole ones that are alike all are whole
+        starts = np.flatnonzero(~shared)
+        place = at[own] + (c - begin[own])
+        first = np.repeat(np.minimum.reduceat(place, starts), np.diff(np.append(starts, len(own)))) == place
+        lost = own[~first]
+        gone_of.append(lost)
+        gone_at.append(c - begin[lost])
+        if wanted.any():
+            firsts += [(int(i), int(c - begin[i])) for i in own[first & wanted[own]]]
+    sid, offset = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (gone_of, gone_at))
     order = np.lexsort((offset, sid))
-    return np.split(offset[order], np.searchsorted(sid[order], np.arange(1, n)))
+    return np.split(offset[order], np.searchsorted(sid[order], np.arange(1, len(strings)))), firsts
 
 
 def runs(offsets: np.ndarray) -> list[tuple[int, int]]:
@@ -156,19 +176,19 @@ def repeats(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFram
             raw = data.tobytes()
             found = [fragments(data[a:b], span, anchor) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             owner = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
-            start, width, h = (np.concatenate([x[k] for x in found]) for k in range(3))
+            start, width, h, lead = (np.concatenate([x[k] for x in found]) for k in range(4))
             begin = start + offsets[owner]
             f = np.fromiter((digest(raw[a:b]) for a, b in zip(begin.tolist(), (begin + width + span - 1).tolist(), strict=True)), np.uint64, len(begin)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(h), pa.array(f), pa.array(start.astype(np.int32)), pa.array(width.astype(np.int16))], names=["key", "h", "f", "start", "width"])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(h), pa.array(f), pa.array(start.astype(np.int32)), pa.array(width.astype(np.int16)), pa.array(lead.astype(np.int16))], names=["key", "h", "f", "start", "width", "lead"])
 
-    hits = staged(rows.mapInArrow(placed, f"key {key_type}, h long, f long, start int, width smallint").join(again, "h"), "fragments")
-    classes = staged(hits.groupBy("h", "f").agg(F.min(F.struct("key", "start")).alias("first"), F.min("width").alias("width"), F.count("*").alias("n")), "classes")
+    hits = staged(rows.mapInArrow(placed, f"key {key_type}, h long, f long, start int, width smallint, lead smallint").join(again, "h"), "fragments")
+    classes = staged(hits.groupBy("h", "f").agg(F.min(F.struct("key", "start")).alias("first"), F.min("width").alias("width"), F.min("lead").alias("lead"), F.count("*").alias("n")), "classes")
     later = hits.join(classes.where("n > 1").select("h", "f", "first"), ["h", "f"]).where(F.struct("key", "start") != F.col("first"))
     later = later.select("key", F.col("start").alias("since"), (F.col("start") + F.col("width") + span - 1).alias("until"))
 
     mixed = staged(classes.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "mixed")
     split = classes.join(mixed, "h").withColumn("parts", F.ceil(F.col("m") / COLLECTION).cast("int"))
-    wanted = split.select(F.col("first.key").alias("key"), F.struct("h", F.pmod("f", F.col("parts")).cast("int").alias("salt"), "parts", F.col("first.start").alias("start"), "width").alias("x")).groupBy("key").agg(F.collect_list("x").alias("xs"))
+    wanted = split.select(F.col("first.key").alias("key"), F.struct("h", F.pmod("f", F.col("parts")).cast("int").alias("salt"), "parts", F.col("first.start").alias("start"), "width", "lead").alias("x")).groupBy("key").agg(F.collect_list("x").alias("xs"))
     # the places of one document that are first of their class are fewer than its bytes
     texts = rows.join(wanted, "key").select("key", "text", "xs")
 
@@ -177,27 +197,25 @@ def repeats(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFram
             xs = part.column(2)
             owner = np.repeat(np.arange(part.num_rows), [len(x) for x in xs])
             flat = xs.flatten()
-            h, salt, parts, start, width = (flat.field(k) for k in range(5))
+            h, salt, parts, start, width, lead = (flat.field(k) for k in range(6))
             whole = utf8(part.column(1))
             own = [whole[o][s : s + w + span - 1] for o, s, w in zip(owner.tolist(), start.to_pylist(), width.to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([h, salt, parts, part.column(0).take(pa.array(owner)), start, pa.array(own, pa.binary())], names=["h", "salt", "parts", "key", "start", "bytes"])
+            yield pa.RecordBatch.from_arrays([h, salt, parts, part.column(0).take(pa.array(owner)), start, lead, pa.array(own, pa.binary())], names=["h", "salt", "parts", "key", "start", "lead", "bytes"])
 
-    pieces = texts.mapInArrow(cut, f"h long, salt int, parts int, key {key_type}, start int, bytes binary").repartition("h", "salt").sortWithinPartitions("h", "salt")
+    pieces = texts.mapInArrow(cut, f"h long, salt int, parts int, key {key_type}, start int, lead smallint, bytes binary").repartition("h", "salt").sortWithinPartitions("h", "salt")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole anchors, as many as make a collection; anchors dealt over several collections also report what is first here."""
         key_arrow: list = []
 
         def answer(own: list[tuple]) -> pa.RecordBatch:
-            strings, places = [x[5] for x in own], [(_comparable(x[3]), x[4]) for x in own]
-            gone, firsts = resolve(strings, places, span)
+            gone, firsts = resolve([x[6] for x in own], [x[5] for x in own], [(_comparable(x[3]), x[4]) for x in own], [x[2] > 1 for x in own], span)
             keys, since, until, string = [], [], [], []
             for x, offsets in zip(own, gone, strict=True):
                 for a, b in runs(offsets):
                     keys.append(x[3]), since.append(x[4] + a), until.append(x[4] + b + span), string.append(None)
             for i, o in firsts:
-                if own[i][2] > 1:
-                    keys.append(own[i][3]), since.append(own[i][4] + o), until.append(own[i][4] + o + span), string.append(own[i][5][o : o + span])
+                keys.append(own[i][3]), since.append(own[i][4] + o), until.append(own[i][4] + o + span), string.append(own[i][6][o : o + span])
             return pa.RecordBatch.from_arrays([pa.array(keys, key_arrow[0]), pa.array(since, pa.int32()), pa.array(until, pa.int32()), pa.array(string, pa.binary())], names=["key", "since", "until", "string"])
 
         held: list[tuple] = []
