@@ -12,7 +12,7 @@ occurs again can hold repeats. Of these:
    prefixes being updated in one sequential pass over the Burrows-Wheeler transform of the column before. Fragments lie with their anchors
    in one column, so only suffixes of the same column can be alike and each round sorts one suffix a fragment. Those with a
    common prefix of ``span`` bytes are the repeats. A collection is bounded, so its transform is kept in memory, not in files;
-3. anchors with more classes than a collection holds are dealt over several; each resolves its own, and what remains first
+3. anchors with more classes than an eighth of a collection are dealt over several tasks; each resolves its own, and what remains first
    there meets in an aggregate keyed by the string itself.
 
 Place order is (id, start), matches never cross documents, and strings are judged on the input. Rows with equal or null ids
@@ -187,7 +187,7 @@ def repeats(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFram
     later = later.select("key", F.col("start").alias("since"), (F.col("start") + F.col("width") + span - 1).alias("until"))
 
     mixed = staged(classes.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "mixed")
-    split = classes.join(mixed, "h").withColumn("parts", F.ceil(F.col("m") / COLLECTION).cast("int"))
+    split = classes.join(mixed, "h").withColumn("parts", F.ceil(F.col("m") / max(1, COLLECTION // 8)).cast("int"))
     wanted = split.select(F.col("first.key").alias("key"), F.struct("h", F.pmod("f", F.col("parts")).cast("int").alias("salt"), "parts", F.col("first.start").alias("start"), "width", "lead").alias("x")).groupBy("key").agg(F.collect_list("x").alias("xs"))
     # the places of one document that are first of their class are fewer than its bytes
     texts = rows.join(wanted, "key").select("key", "text", "xs")
