@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.engine import Engine
-from tidewell.functions import text, vectors
-from tidewell.operators import components, filters, graph, joins
+from tidewell.functions import geo, text, vectors
+from tidewell.operators import ann, communities, components, filters, graph, joins
 from tidewell.sources import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -293,12 +293,12 @@ def text_hybrid_rrf(e: Engine) -> DataFrame:
     return text.reciprocal_rank_fusion([a, b], "doc_id").orderBy(F.desc("score"), "doc_id").limit(20)
 
 
-# graphs: suppliers and parts of order lines
-_EDGES = "SELECT DISTINCT l_suppkey % 97 AS src, l_partkey % 97 AS dst FROM lineitem WHERE l_orderkey % 7 = 0"
+# graphs: customers and orders
+_EDGES = "SELECT DISTINCT o_custkey % 997 AS src, o_orderkey % 997 AS dst FROM orders"
 
 
 def edges(e: Engine) -> DataFrame:
-    """A graph of 97 nodes made of order lines; the folding of keys is the graph's definition."""
+    """A graph of 997 nodes made of all orders; the folding of keys is the graph's definition."""
     return e.sql(_EDGES).withColumn("weight", (F.abs(F.col("src") - F.col("dst")) + 1).cast("double"))
 
 
@@ -317,7 +317,7 @@ def graph_triangles(e: Engine) -> DataFrame:
     return graph.triangles(edges(e))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT src, dst, CAST(abs(src - dst) + 1 AS DOUBLE) AS w FROM ({_EDGES})), d(node, dist, hop) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS DOUBLE), 0 UNION SELECT e.dst, min(d.dist + e.w), d.hop + 1 FROM d JOIN e ON d.node = e.src WHERE d.hop < 12 GROUP BY e.dst, d.hop) SELECT node, min(dist) AS distance FROM d GROUP BY node""")
+@query(f"""WITH RECURSIVE e AS (SELECT src, dst, CAST(abs(src - dst) + 1 AS DOUBLE) AS w FROM ({_EDGES})), d(node, dist, hop) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS DOUBLE), 0 UNION SELECT e.dst, min(d.dist + e.w), d.hop + 1 FROM d JOIN e ON d.node = e.src WHERE d.hop < 60 GROUP BY e.dst, d.hop) SELECT node, min(dist) AS distance FROM d GROUP BY node""")
 def graph_shortest(e: Engine) -> DataFrame:
     return graph.shortest_paths(edges(e), 1)
 
@@ -352,3 +352,45 @@ def graph_paths(e: Engine) -> DataFrame:
 @query("SELECT user_id, count(*) AS n, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS clicks FROM events GROUP BY user_id")
 def cross_model_events(e: Engine) -> DataFrame:
     return e.catalog.resolve("events").groupBy("user_id").agg(F.count("*").alias("n"), F.sum((F.col("event_type") == "click").cast("int")).alias("clicks"))
+
+
+@query()
+def graph_strong_components(e: Engine) -> DataFrame:
+    return communities.strongly_connected(edges(e))
+
+
+@query()
+def graph_betweenness(e: Engine) -> DataFrame:
+    return communities.betweenness(edges(e)).select("node", F.round("betweenness", 4).alias("betweenness"))
+
+
+@query()
+def graph_louvain(e: Engine) -> DataFrame:
+    return communities.louvain(edges(e))
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT src, dst, CAST(abs(src - dst) + 1 AS DOUBLE) AS w FROM ({_EDGES})), p(path, node, cost, length) AS (SELECT [CAST(1 AS BIGINT)], CAST(1 AS BIGINT), CAST(0 AS DOUBLE), 0 UNION ALL
+    SELECT list_append(p.path, e.dst), e.dst, p.cost + e.w, p.length + 1 FROM p JOIN e ON p.node = e.src WHERE p.length < 3 AND NOT list_contains(p.path, e.dst)) SELECT array_to_string(path, '>') AS path, cost FROM p WHERE node = 9 ORDER BY cost, length, path LIMIT 5""")
+def graph_k_cheapest(e: Engine) -> DataFrame:
+    found = communities.cheapest_paths(edges(e), 1, 9, 5, 3)
+    return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "cost")
+
+
+@query()
+def vector_ivf_pq(e: Engine) -> DataFrame:
+    """The ten nearest of every row whose id is divisible by 20, through the index. These vectors hardly cluster, so a recall of 0.9 takes three cells in four."""
+    rows = e.catalog.resolve("embeddings")
+    cells = max(1, min(1024, int(rows.count() ** 0.5 / 2)))
+    found = ann.search(ann.build(rows, cells), rows, rows.where("vec_id % 20 = 0"), k=10, probes=-(-cells * 3 // 4), again=60)
+    return found.select("query", "key", F.round("distance", 4).alias("distance"), "rank")
+
+
+_PLACES = "SELECT c_custkey, (c_custkey * 37 % 3600) / 10.0 - 180 AS lon, (c_custkey * 53 % 1800) / 10.0 - 90 AS lat FROM customer"
+
+
+@query(f"""SELECT c_custkey, round(2 * 6371.0088 * asin(sqrt(pow(sin(radians(48 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(48)) * pow(sin(radians(11 - lon) / 2), 2))), 1) AS km, lon BETWEEN -20 AND 40 AND lat BETWEEN 30 AND 70 AS in_box,
+    abs(lon) + abs(lat) < 45.05 AS in_diamond FROM ({_PLACES})""")
+def geo_predicates(e: Engine) -> DataFrame:
+    lon, lat = F.col("lon").cast("double"), F.col("lat").cast("double")
+    ring = [(45.05, 0.0), (0.0, 45.05), (-45.05, 0.0), (0.0, -45.05)]
+    return e.sql(_PLACES).select("c_custkey", F.round(geo.distance(lon, lat, F.lit(11.0), F.lit(48.0)) / 1000, 1).alias("km"), geo.within_box(lon, lat, (-20.0, 30.0), (40.0, 70.0)).alias("in_box"), geo.within_polygon(lon, lat, ring).alias("in_diamond"))
