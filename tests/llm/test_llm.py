@@ -186,6 +186,31 @@ def test_pii_spans(spark, odd, none, monkeypatch):
     assert {r["text"] for r in pii.redact(clean).collect()} == {"write to [email] now", "nothing here"}
 
 
+def test_pii_context_decides(spark):
+    """Spans are added in the context in which judged ones are true, and equal ones without it aren't."""
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card(good):
+        d = "4" + digits(14)
+        total = sum(x - 9 if x > 9 else x for x in (int(c) * (2 - i % 2) for i, c in enumerate(reversed(d))))
+        d += str((-total + (0 if good else rng.randint(1, 9))) % 10)
+        return " ".join(d[i : i + 4] for i in range(0, 16, 4))
+
+    texts = []
+    for _ in range(300):
+        texts += [f"my credit card: {card(True)} thanks", f"the order {card(False)} left", f"the order {card(True)} left"]
+        texts += [f"please call: +49 {digits(3)} {digits(3)} {digits(4)} soon", f"the part {digits(3)}-{digits(4)} is out"]
+        texts += [f"please mail: a{digits(2)}@site.org soon", f"sold a lot at shop{digits(1)}.de again"]
+    at = len(texts)
+    texts += [f"my credit card: {card(False)} thanks", f"the order {card(False)} left"]
+    texts += ["please call: 030-555-1234 soon", "the part 030-555-1234 is out"]
+    texts += ["please mail: bob [at] site [dot] org soon", "sold bob [at] site [dot] org again"]
+    got = {r["doc_id"]: [pii.KINDS[s["kind"]] for s in r["added"]] for r in pii.redact_spans(frame(spark, texts)).collect()}
+    assert [got[at + i] for i in range(6)] == [["card"], [], ["phone"], [], ["email"], []]
+    assert not any(got[i] for i in range(at) if "order" in texts[i] or "part" in texts[i] or "sold" in texts[i])
+
+
 def test_mixing_targets_and_balance(spark, odd, none):
     rng = random.Random(6)
     rows = [(i, prose(rng, rng.randint(1, 80)), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(3000)]

@@ -3,10 +3,12 @@
 Base rules find e-mail addresses, IP addresses, card and phone numbers. Beside them, generators of high recall propose
 more spans, overlapping ones too: every match that a base rule found and then rejected, digit groups in the shape of a card within such a match,
 addresses with spelled-out signs, numbers without a plus. Format and context of each span become a few small categorical features.
-Spans that a base rule judged are labels; since features take at most 1,024 combinations, labels are
-one aggregate of that many rows, from which boosted trees are grown on the driver. The trees become one SQL expression,
+Spans that a base rule judged are labels, and so are spans that look alike but that no base rule can accept: addresses with a bare
+"at", and digit groups without a plus that have too few or too many digits. Features leave out what the base rules look at to
+judge (Luhn's test, sizes of parts, a phone number's digits), so format and context decide. Since features take at most 640 combinations,
+labels are one aggregate of that many rows, from which boosted trees are grown on the driver. The trees become one SQL expression,
 so scoring stays in generated code. For each kind the threshold is the lowest score from which on at least ``precision``
-of the labelled spans are true; spans above it that touch no base span are added.
+of the labelled spans are true; spans above it that touch no base span are added. A kind without both labels gets none.
 
 Positions count code points, ends are exclusive. A match is located by splitting the text at the same pattern, which
 runs without backtracking: a match may begin only where a run begins or the last match ended. Null and empty texts have no
@@ -30,9 +32,12 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]++)++"
 PLAIN_PHONE = r"(?<![0-9+(.-])(?:\([0-9]{2,4}\)[ -]?|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])"
+BARE_AT = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ at [A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+GROUPS = r"(?<![0-9+(.-])[0-9]{2,5}(?:[ .-][0-9]{2,5}){1,3}(?![0-9.-])"
 RUN = r"(?<![0-9])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9])"
-CONTEXT = r"(?i)(?:mail|contact|write|card|credit|visa|pay|phone|call|tel|mobile|fax|\bip\b|host|server|address)[^A-Za-z0-9]*+(?:[A-Za-z]{1,6}[^A-Za-z0-9]{1,3})?$"
-FEATURES = ("kind", "valid", "digits", "grouped", "context", "clean", "mark")
+NEAR = {"email": "mail|contact|write|address", "ip": r"\bip\b|host|server|address", "card": "card|credit|visa|pay", "phone": "phone|call|tel|mobile|fax|contact"}
+CONTEXT = {k: rf"(?i)(?:{words})[^A-Za-z0-9]*+(?:[A-Za-z]{{1,6}}[^A-Za-z0-9]{{1,3}})?$" for k, words in NEAR.items()}
+FEATURES = ("kind", "digits", "grouped", "brackets", "context", "clean")
 
 _SPAN = "array<struct<start:int,hit:string>>"
 
@@ -70,28 +75,27 @@ def _valid(kind: str, hit: Column) -> Column:
     return {"email": F.lit(True), "ip": parts_fit(hit), "card": n.between(13, 19) & luhn(hit), "phone": n.between(9, 15)}[kind]
 
 
-def _described(text: Column, kind: str, found: Column, judged: bool, narrow: bool = False) -> Column:
-    """Candidates with features: array<struct<kind, start, end, label, valid, digits, grouped, context, clean, mark>>. label is -1 where no base rule judged the span."""
+def _described(text: Column, kind: str, found: Column, label: int | None = None) -> Column:
+    """Candidates with features: array<struct<kind, start, end, label, digits, grouped, brackets, context, clean>>. label: that of all spans, -1 where there is none; by default what the base rule says."""
 
     def one(x: Column) -> Column:
         start, hit = x["start"], x["hit"]
         end = start + F.char_length(hit)
         n = F.char_length(only_digits(hit))
-        ok = _valid(kind, hit).cast("int")
         before, after = F.substring(text, start, F.lit(1)), F.substring(text, end + 1, F.lit(1))
         edge = F.when(start > 0, before.rlike("[A-Za-z0-9]")).otherwise(False) | after.rlike("[A-Za-z0-9]")
         near = F.substring(text, F.greatest(start - 23, F.lit(1)), F.least(start, F.lit(24)))
         bucket = F.when(n < 9, 0).when(n < 13, 1).when(n <= 15, 2).when(n <= 19, 3).otherwise(4)
         return F.struct(
-            F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), end.cast("int").alias("end"), (ok if judged else F.lit(-1)).alias("label"), ok.alias("valid"), bucket.alias("digits"),
-            hit.rlike("[0-9][ .()-]+[0-9]").cast("int").alias("grouped"), near.rlike(CONTEXT).cast("int").alias("context"), (~edge).cast("int").alias("clean"), F.lit(int(not narrow)).alias("mark"),
+            F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), end.cast("int").alias("end"), (_valid(kind, hit).cast("int") if label is None else F.lit(label)).alias("label"), (bucket if kind in ("ip", "card") else F.lit(0)).alias("digits"),
+            hit.rlike("[0-9][ .()-]+[0-9]").cast("int").alias("grouped"), (hit.contains("(").cast("int") if kind == "phone" else F.lit(0)).alias("brackets"), near.rlike(CONTEXT[kind]).cast("int").alias("context"), (~edge).cast("int").alias("clean"),
         )
 
     return F.transform(found, one)
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, base array<struct<kind, start, end>>, proposed (candidates that aren't base spans, with features), judged (all that base rules judged)."""
+    """id, base array<struct<kind, start, end>>, proposed (candidates that aren't base spans, with features), judged (all that have labels)."""
     text = F.col("text")
     found = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = found.withColumns({
@@ -102,10 +106,13 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "m_phone": located(text, PHONE, text.rlike(r"\+[0-9]")),
         "m_spelled": located(text, SPELLED, text.rlike(r"[\[(]at[\])]")),
         "m_plain": located(text, PLAIN_PHONE, text.rlike(r"[0-9][ .)-]{1,2}[0-9]{3}")),
+        "m_bare": located(text, BARE_AT, text.rlike(r" at [A-Za-z0-9-]+\.")),
+        "m_groups": located(text, GROUPS, text.rlike(r"[0-9]{2}[ .-][0-9]{2}")),
     })
     found = found.withColumn("m_card", F.filter("m_card", lambda x: F.char_length(only_digits(x["hit"])) >= 9))
-    judged = F.concat(*[_described(text, k, F.col(f"m_{k}"), True) for k in KINDS])
-    more = F.concat(_described(text, "email", F.col("m_spelled"), False, True), _described(text, "phone", F.col("m_plain"), False, True), _described(text, "card", F.col("m_run"), False))
+    groups = F.filter("m_groups", lambda x: ~_valid("phone", x["hit"]))
+    judged = F.concat(*[_described(text, k, F.col(f"m_{k}")) for k in KINDS], _described(text, "email", F.col("m_bare"), 0), _described(text, "phone", groups, 0))
+    more = F.concat(_described(text, "email", F.col("m_spelled"), -1), _described(text, "phone", F.col("m_plain"), -1), _described(text, "card", F.col("m_run"), -1))
     out = found.select("id", judged.alias("judged"), more.alias("more"))
     base = F.transform(F.filter("judged", lambda c: c["label"] == 1), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     return out.select("id", base.alias("base"), F.concat("more", F.filter("judged", lambda c: c["label"] == 0)).alias("proposed"), "judged")
@@ -152,7 +159,7 @@ def value(tree, x: tuple[int, ...]) -> float:
 def model(found: DataFrame, precision: float = 0.99) -> tuple[dict[tuple[int, ...], float], list[float]]:
     """Score of each combination of features and the threshold of each kind, from all judged spans. Without both labels nothing is added."""
     spans = found.select(F.explode("judged").alias("c")).select(*[F.col("c")[f].alias(f) for f in FEATURES], F.col("c")["label"].alias("label"))
-    got = spans.groupBy(*FEATURES).agg(F.count("*").alias("n"), F.avg("label").alias("share")).orderBy(*FEATURES).collect()  # at most 1,024 rows
+    got = spans.groupBy(*FEATURES).agg(F.count("*").alias("n"), F.avg("label").alias("share")).orderBy(*FEATURES).collect()  # at most 640 rows
     rows = [(tuple(r[f] for f in FEATURES), float(r["n"]), float(r["share"])) for r in got]
     if not rows or not 0 < sum(w * y for _, w, y in rows) < sum(w for _, w, _ in rows):
         return {}, [2.0] * len(KINDS)
@@ -169,7 +176,7 @@ def model(found: DataFrame, precision: float = 0.99) -> tuple[dict[tuple[int, ..
             true, all_ = true + w * y, all_ + w
             if true >= precision * all_:
                 cut = s
-        cuts.append(cut if 0 < true < all_ or cut <= 1 else 2.0)
+        cuts.append(cut if 0 < true < all_ else 2.0)
     return scores, cuts
 
 
