@@ -320,3 +320,36 @@ def test_pipeline(spark, odd, none):
 
             docs = staged(stage(spark, docs, ""), "test")
         assert set(docs.columns) >= {"doc_id", "n_tokens", "token_ids"}
+
+
+def test_pipeline_near_copies_by_brute_force(spark):
+    """Kept rows of the near_dedup stage against all pairs, with similarities from below to above 0.8, a frequent passage and repeated rows."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    passage, texts = prose(rng, 30), [None, "", "x", "X", "a b c"]
+    for i in range(60):
+        own = prose(rng, rng.randint(8, 150)).split()
+        texts.append(" ".join(own))
+        for _ in range(3):
+            copy = list(own)
+            for _ in range(rng.randint(0, 1 + len(own) // 40)):
+                copy[rng.randrange(len(copy))] = "other"
+            texts.append(" ".join(copy).upper() if i % 3 else " ".join(copy))
+        texts.append(passage + " " + prose(rng, rng.randint(1, 60)))
+    rng.shuffle(texts)
+
+    def shingles_of(t):
+        w = (t or "").encode().lower().split()  # A-Z only
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles_of(t) for t in texts]
+    group = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 9 * len(a & b) >= 4 * (len(a) + len(b)):
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    assert len(texts) / 4 < len(set(group)) < len(texts) * 3 / 4
+    kept = [r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, frame(spark, texts), "").collect()]
+    assert sorted(kept) == sorted(set(group))

@@ -1,0 +1,128 @@
+"""Near copies by exact similarity of word shingles.
+
+A text is the set of hashes of its shingles of ``size`` words; two texts are near copies if their sets have a Jaccard similarity of
+0.8 or more, and groups are the connected components of near copies. Fingerprints of 64 bits can't find all such pairs (at 0.8 about
+ten bits differ, with wide spread), so candidates come from a prefix filter, which loses none: if all sets are sorted by one order,
+two that are similar enough share a shingle among the first n - ceil(0.8 n) + 1 of each. Candidates that sizes and places of the
+shared shingle don't rule out are compared by their whole sets.
+
+Any order gives the same pairs. It puts shingles last that a sample of texts shows to be frequent, so that lists of texts
+with a common shingle stay short. Equal sets are compared once. Null and word-less texts have an empty set and are equal.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidewell.operators.components import components
+
+from .common import SPACES, sample_by_hash, slices, staged, utf8
+
+#: Texts that the order of shingles is taken from, at least, and the share of all of them.
+SAMPLE_ROWS, SAMPLE_SHARE = 4096, 1 / 64
+#: Frequent shingles that the order knows; a fixed number, so they are broadcast.
+FREQUENT = 1 << 18
+_TO_SPACE = bytes(32 if b in SPACES else b for b in range(256))
+
+
+def shingle_set(text: bytes, size: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the shingles; a text of fewer words is one shingle."""
+    words = [w for w in text.lower().translate(_TO_SPACE).split(b" ") if w]
+    if not words:
+        return np.zeros(0, np.int64)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    last = max(1, len(words) - size + 1)
+    pairs = zip(starts[:last].tolist(), ends[min(size, len(words)) - 1 :].tolist(), strict=True)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(line[a:b]) for a, b in pairs), np.uint64, last).view(np.int64))
+
+
+def _sets(rows: DataFrame, size: int) -> DataFrame:
+    """row, shingles of rows (row, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, size) for t in utf8(part.column(1))], pa.list_(pa.int64()))], names=["row", "shingles"])
+
+    return rows.select("row", "text").mapInArrow(run, "row long, shingles array<long>")
+
+
+def _frequent(rows: DataFrame, size: int) -> np.ndarray:
+    """Shingles that come last in the order, the most frequent at the end."""
+    share = max(SAMPLE_SHARE, min(1.0, SAMPLE_ROWS / max(1, rows.count())))
+    some = _sets(sample_by_hash(rows.withColumn("id", F.col("row")), F.lit(share), 11), size)
+    counted = some.select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+    return counted.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toArrow()["h"].to_numpy()[::-1]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows with a shingle in common whose sizes and places let them be similar enough. Batches of (h, row, size << 32 | place) are sorted by h."""
+
+    def pairs_of(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """For each distance of two places in the list at once, so that memory stays that of the list."""
+        h, row, n_at = cols
+        n, left = n_at >> 32, (n_at >> 32) - (n_at & 0xFFFFFFFF)
+        own = np.flatnonzero(h[1:] == h[:-1])
+        step = 1
+        while len(own):
+            to = own + step
+            fits = 9 * np.minimum(left[own], left[to]) >= 4 * (n[own] + n[to])  # the most that can be shared from a first common shingle on
+            a, b = row[own[fits]], row[to[fits]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["row_a", "row_b"])
+            step += 1
+            own = own[own + step < len(h)]
+            own = own[h[own + step] == h[own]]
+
+    rest = [np.zeros(0, np.int64) for _ in range(3)]
+    for batch in batches:
+        cols = [np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, batch.columns, strict=True)]
+        if not len(cols[0]):
+            continue
+        last = int(np.searchsorted(cols[0], cols[0][-1]))
+        yield from pairs_of([c[:last] for c in cols])
+        rest = [c[last:] for c in cols]
+    yield from pairs_of(rest)
+
+
+def near_copies(docs: DataFrame, size: int = 5, row_col: str = "row", text_col: str = "text") -> DataFrame:
+    """row (a distinct long of each row of docs), root: equal for all rows of a group."""
+    rows = docs.select(F.col(row_col).alias("row"), F.col(text_col).alias("text"))
+    late = _frequent(rows, size)
+    by_hash = np.argsort(late)
+    shared = rows.sparkSession.sparkContext.broadcast((late[by_hash], by_hash + 1))
+
+    def prefix(own: np.ndarray) -> np.ndarray:
+        known, rank_of = shared.value
+        rank = np.zeros(len(own), np.int64)
+        if len(known):
+            at = np.searchsorted(known, own).clip(max=len(known) - 1)
+            rank = np.where(known[at] == own, rank_of[at], 0)
+        return own[np.argsort(rank, kind="stable")][: len(own) - (4 * len(own) + 4) // 5 + 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            own = [shingle_set(t, size) for t in utf8(part.column(1))]
+            cols = [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in own], pa.binary()), pa.array([len(s) for s in own], pa.int64()), pa.array([prefix(s) for s in own], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["row", "digest", "n", "prefix"])
+
+    read = staged(rows.mapInArrow(run, "row long, digest binary, n long, prefix array<long>"), "prefixes")
+    named = staged(read.groupBy("digest").agg(F.min("row").alias("rep")), "sets")
+    again = staged(read.select("row", "digest").join(named, "digest").where("row != rep").select("row"), "equal-sets")  # staged, so that few are broadcast
+    listed = read.join(again, "row", "left_anti").select("row", "n", F.posexplode("prefix").alias("at", "h"))
+    listed = listed.select("h", "row", (F.shiftleft("n", 32) + F.col("at")).alias("n_at")).repartition("h").sortWithinPartitions("h")
+    pairs = staged(listed.mapInArrow(_candidates, "row_a long, row_b long").distinct(), "candidates")
+    wanted = staged(pairs.select(F.col("row_a").alias("row")).unionByName(pairs.select(F.col("row_b").alias("row"))).distinct(), "candidate-rows")
+    sets = staged(_sets(rows.join(wanted, "row", "left_semi"), size), "candidate-sets")
+    x, y = (sets.select(F.col("row").alias(f"row_{side}"), F.col("shingles").alias(side)) for side in "ab")
+    alike = 9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))
+    linked = components(pairs.join(x, "row_a").join(y, "row_b").where(alike).select("row_a", "row_b"), "row_a", "row_b")
+    roots = named.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("root"))
+    return read.select("row", "digest").join(roots, "digest").select(F.col("row").alias(row_col), "root")
