@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,17 +51,27 @@ def paths(edges: DataFrame, starts: DataFrame, least: int, most: int) -> DataFra
     return out
 
 
-def shortest_paths(edges: DataFrame, source, max_rounds: int = 50) -> DataFrame:
-    """node, distance by weights from one source: relaxation rounds with a minimum per node until nothing improves."""
+def shortest_paths(edges: DataFrame, source, max_rounds: int | None = None) -> DataFrame:
+    """node, distance by weights from one source: relaxation rounds with a minimum per node until nothing improves.
+
+    Without cycles of negative weight that takes at most as many rounds as there are nodes; more, or more than max_rounds, raise an error.
+    """
     best = staged(edges.sparkSession.createDataFrame([(source, 0.0)], f"node {edges.schema['src'].dataType.simpleString()}, distance double"), "sssp")
-    frontier = best
-    for _ in range(max_rounds):
+    frontier, rounds = best, 0
+    most = _nodes(edges).count() + 1 if max_rounds is None else max_rounds
+    while True:
         step = frontier.join(edges, frontier["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("distance") + F.col("weight")).alias("_d"))
         frontier = staged(step.join(best, "node", "left").where("distance IS NULL OR _d < distance").select("node", F.col("_d").alias("distance")), "sssp")
         if frontier.isEmpty():
-            break
+            return best
+        rounds += 1
+        if rounds > most:
+            raise RuntimeError(f"distances have not settled after {most} rounds")
         best = staged(best.unionByName(frontier).groupBy("node").agg(F.min("distance").alias("distance")), "sssp")
-    return best
+
+
+def _nodes(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -106,12 +118,12 @@ def triangles(edges: DataFrame) -> DataFrame:
     return wedge.join(closing, ["y", "z"], "left_semi").select(abc[0].alias("a"), abc[1].alias("b"), abc[2].alias("c"))
 
 
-def graph_lookup(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
-    """start, node, depth: everything reachable from each start separately, with least depth."""
+def graph_lookup(edges: DataFrame, starts: DataFrame, max_depth: int | None) -> DataFrame:
+    """start, node, depth: everything reachable from each start separately, with least depth, at most max_depth where given."""
     e = directed(edges)
     seen = staged(starts.select(F.col("node").alias("start"), "node").distinct().withColumn("depth", F.lit(0)), "lookup")
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         fresh = frontier.join(e, frontier["node"] == e["src"]).select("start", F.col("dst").alias("node")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti")
         frontier = staged(fresh.withColumn("depth", F.lit(depth)), "lookup")
         if frontier.isEmpty():
@@ -120,10 +132,9 @@ def graph_lookup(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFra
     return seen.where("depth > 0")
 
 
-def closeness(edges: DataFrame, max_depth: int = 20) -> DataFrame:
-    """node, closeness: reached nodes over the sum of hops to them."""
-    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    return graph_lookup(edges, nodes, max_depth).where("node != start").groupBy(F.col("start").alias("node")).agg((F.count("*") / F.sum("depth")).alias("closeness"))
+def closeness(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """node, closeness: reached nodes over the sum of hops to them; all that a node reaches, or those within max_depth where given."""
+    return graph_lookup(edges, _nodes(edges), max_depth).where("node != start").groupBy(F.col("start").alias("node")).agg((F.count("*") / F.sum("depth")).alias("closeness"))
 
 
 def knn_mesh(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_where: str = "true") -> DataFrame:
