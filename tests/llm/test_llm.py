@@ -87,6 +87,14 @@ def test_suffix_removal(spark, odd, none, monkeypatch, collection):
         assert suffix.remove_repeats(none).count() == 0
 
 
+def test_fragment_digests_have_128_bits():
+    raw = b"".join(b"%06d" % i for i in range(500))
+    begin = np.arange(0, len(raw) - 60, 6)
+    f, g = suffix.digests(raw, begin, begin + 60)
+    want = [xxhash.xxh3_128_intdigest(raw[a : a + 60]) for a in begin.tolist()]
+    assert [(int(a) % (1 << 64)) << 64 | int(b) % (1 << 64) for a, b in zip(f, g, strict=True)] == want
+
+
 def test_columns_are_sorted():
     rng = random.Random(5)
     own = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 30))) for _ in range(40)]

@@ -67,6 +67,13 @@ def fragments(text: np.ndarray, span: int = SPAN, anchor: int = ANCHOR) -> tuple
     return starts, np.diff(np.append(starts, len(at))), h[at[starts]].view(np.int64), at[starts] - starts
 
 
+def digests(raw: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of the 128-bit digest of each fragment, so that even among very many no two different ones are taken as equal."""
+    whole = b"".join(xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True))
+    halves = np.frombuffer(whole, ">i8").astype(np.int64).reshape(-1, 2)
+    return halves[:, 0].copy(), halves[:, 1].copy()
+
+
 def columns(strings: list[bytes], leads: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """From the last column to the first: (column, strings in the order of their suffixes from there, common prefix with the one before).
 
@@ -170,7 +177,6 @@ def repeats(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFram
     again = staged(rows.mapInArrow(anchors, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "anchors")
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
         for part in slices(batches):
             data, offsets = buffer_of(part.column(1))
             raw = data.tobytes()
@@ -178,12 +184,12 @@ def repeats(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFram
             owner = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
             start, width, h, lead = (np.concatenate([x[k] for x in found]) for k in range(4))
             begin = start + offsets[owner]
-            f = np.fromiter((digest(raw[a:b]) for a, b in zip(begin.tolist(), (begin + width + span - 1).tolist(), strict=True)), np.uint64, len(begin)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(h), pa.array(f), pa.array(start.astype(np.int32)), pa.array(width.astype(np.int16)), pa.array(lead.astype(np.int16))], names=["key", "h", "f", "start", "width", "lead"])
+            f, g = digests(raw, begin, begin + width + span - 1)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(h), pa.array(f), pa.array(g), pa.array(start.astype(np.int32)), pa.array(width.astype(np.int16)), pa.array(lead.astype(np.int16))], names=["key", "h", "f", "g", "start", "width", "lead"])
 
-    hits = staged(rows.mapInArrow(placed, f"key {key_type}, h long, f long, start int, width smallint, lead smallint").join(again, "h"), "fragments")
-    classes = staged(hits.groupBy("h", "f").agg(F.min(F.struct("key", "start")).alias("first"), F.min("width").alias("width"), F.min("lead").alias("lead"), F.count("*").alias("n")), "classes")
-    later = hits.join(classes.where("n > 1").select("h", "f", "first"), ["h", "f"]).where(F.struct("key", "start") != F.col("first"))
+    hits = staged(rows.mapInArrow(placed, f"key {key_type}, h long, f long, g long, start int, width smallint, lead smallint").join(again, "h"), "fragments")
+    classes = staged(hits.groupBy("h", "f", "g").agg(F.min(F.struct("key", "start")).alias("first"), F.min("width").alias("width"), F.min("lead").alias("lead"), F.count("*").alias("n")), "classes")
+    later = hits.join(classes.where("n > 1").select("h", "f", "g", "first"), ["h", "f", "g"]).where(F.struct("key", "start") != F.col("first"))
     later = later.select("key", F.col("start").alias("since"), (F.col("start") + F.col("width") + span - 1).alias("until"))
 
     mixed = staged(classes.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "mixed")
