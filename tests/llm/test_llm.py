@@ -140,18 +140,55 @@ def test_simhash_groups(spark, odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("n", [2, 20, 64, 65, 700])
-def test_bit_sliced_links(n):
-    rng, own = random.Random(n), set()
-    while len(own) < n:
-        x = rng.getrandbits(64)
-        own |= {x, x ^ 1 << rng.randrange(64), x ^ 31 << rng.randrange(59)}
-    fps = np.array(sorted(own), np.uint64)
-    got = dict(simhash.local_links(fps.view(np.int64), 4))
-    near = {int(a): [int(b) for b in fps.view(np.int64)[np.bitwise_count(fps ^ np.uint64(int(a) & (1 << 64) - 1)) <= 4]] for a in fps.view(np.int64)}
-    for a, links in near.items():
-        assert all(got.get(a, a) == got.get(b, b) for b in links)
-    assert all(got.get(a, a) <= a for a in near)
+@pytest.mark.parametrize("radius", [0, 4, 7, 28])
+def test_bit_sliced_pairs(radius):
+    """All pairs within the radius of blocks of all sizes that share words' passes, and of parts that meet; no others."""
+    rng = random.Random(radius)
+    sizes = [1, 2, 2, 3, 63, 64, 65, 130, 700, 1, 5, 2]
+    fps = []
+    for n in sizes:
+        seed = rng.getrandbits(64)
+        fps += [seed ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 2 * radius + 1))) & (1 << 64) - 1 for _ in range(n)]
+    fps = np.array(fps, np.uint64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    meets = np.arange(len(sizes))
+    meets[[6, 7]], meets[11] = [7, -1], -1
+    for words, entries in ((2048, 1 << 15), (3, 7)):
+        got = set()
+        for a, b in simhash.pairs_within(fps, starts, meets, radius, words, entries):
+            own = set(zip(a.tolist(), b.tolist(), strict=True))
+            assert len(own) == len(a) and not own & got
+            got |= own
+        want = set()
+        for k, m in enumerate(meets):
+            for x in range(starts[k], starts[k + 1]) if m >= 0 else ():
+                want |= {(x, y) for y in range(max(x + 1, starts[m]), starts[m + 1]) if int(fps[x] ^ fps[y]).bit_count() <= radius}
+        assert got == want
+
+
+def test_long_files_are_dealt(spark, monkeypatch):
+    """Files and loose groups of many parts give the same groups."""
+    rng = random.Random(31)
+    base = rng.getrandbits(64)
+    fps = sorted({base ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 6))) & (1 << 64) - 1 for _ in range(400)})
+    label = list(range(len(fps)))
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 4 and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    monkeypatch.setattr(simhash, "FILE_ROWS", 16)
+    monkeypatch.setattr(simhash, "PART_ROWS", 8)
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    from tidewell.operators.components import components
+
+    links = simhash._links(spark.createDataFrame([(x,) for x in signed], "fp long"), len(fps), 4)
+    group = {r["node"]: r["component"] for r in components(links, "a", "b").collect()}
+    seen = {}
+    for x, k in zip(signed, label, strict=True):
+        assert seen.setdefault(k, group.get(x, x)) == group.get(x, x)
+    assert len(set(seen.values())) == len(set(label))
+    test_pipeline_near_copies_by_brute_force(spark)
 
 
 def test_exact(spark, odd, none):

@@ -15,14 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.sources.stages import staged  # noqa: F401
+from tidewell.sources.stages import discard, scratch, staged  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: bytes that end a word
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
+#: Files whose names are sent to all tasks, at most.
+FILES = 1 << 16
 #: rows that a Python task turns into objects at once
 SLICE_ROWS = 256
 
@@ -72,3 +75,22 @@ def sample_by_hash(df: DataFrame, share: Column, salt: int) -> DataFrame:
     """Rows whose hashed id falls under their share: repeatable, no shuffle. df has a column ``id``."""
     unit = F.pmod(F.xxhash64(F.lit(salt), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
     return df.where(unit < share)
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a number for each row that is the same whenever the frame is read again.
+
+    Rows of Parquet files are numbered by file and place in it, so nothing is copied. Other frames, and such of more than ``FILES`` files, whose
+    names would be too many to send to all tasks, are numbered once and staged.
+    """
+    files = None
+    if "_metadata" not in docs.columns:
+        try:
+            placed = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+            files = [r[0] for r in placed.select("__file").distinct().limit(FILES + 1).collect()]
+        except AnalysisException:  # not read from such files
+            files = None
+    if not files or len(files) > FILES:
+        return staged(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(sorted(files))), "__number long, __file string")
+    return placed.join(F.broadcast(numbers), "__file").withColumn(name, F.shiftleft("__number", 40) + F.col("__at")).drop("__file", "__at", "__number")

@@ -5,8 +5,8 @@ vector machines over frequencies of hashed byte trigrams of the text in lower ca
 labelled rows of at most about ``per_language`` rows a language; predictions read every whole text in one pass without
 a shuffle, as sums of the rows of a weight table that all tasks share (``2**BITS`` rows of a few floats).
 
-A text that is null or has no letter is ``und`` with score 0, as is every text where nothing can be learned. Rows
-repeat as they come; extra columns are ignored.
+A text that is null or has no letter is ``und`` with score 0, as is every text where nothing can be learned. Very long texts are read in blocks.
+Tied votes go to the greater sum of probabilities. Rows repeat as they come, an empty table gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +33,10 @@ FAMILIES = {
 }
 UNKNOWN = "und"
 BITS = 13
+#: Rows of a class that a machine is fitted on, at most.
+CLASS_ROWS = 1200
+#: Share of labelled texts and passages whose scores, halved, are those of no language.
+REJECTED = 0.001
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
 
@@ -48,8 +52,18 @@ def trigram_buckets(data: np.ndarray) -> np.ndarray:
     return (key * np.uint32(2654435761)) >> np.uint32(32 - BITS)
 
 
-def frequencies(text: bytes) -> np.ndarray:
-    return np.bincount(trigram_buckets(np.frombuffer(text, np.uint8)), minlength=1 << BITS).astype(np.float32) / max(1, len(text))
+def frequencies(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that a text has and their frequencies."""
+    counts = np.bincount(trigram_buckets(np.frombuffer(text, np.uint8)), minlength=1 << BITS)
+    at = np.flatnonzero(counts)
+    return at.astype(np.uint16), (counts[at] / max(1, len(text))).astype(np.float32)
+
+
+def dense(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    out = np.zeros((len(rows), 1 << BITS), np.float32)
+    for x, (at, share) in zip(out, rows, strict=True):
+        x[at] = share
+    return out
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, rounds: int = 30, reg: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -78,20 +92,30 @@ class Votes:
     unit: np.ndarray  # typical margin of each pair
 
     @classmethod
-    def fit(cls, x: np.ndarray, names: list[str]) -> Votes:
-        classes = sorted(set(names))
-        code = np.array([classes.index(n) for n in names])
-        spread = x.std(0) + 1e-4  # floors the weight of trigrams that hardly occur
+    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], names: list[str], most: int = CLASS_ROWS) -> Votes:
+        """At most about ``most`` rows of a class, evenly spread, so that the matrix of a pair is bounded however many classes there are."""
+        classes, own, size = sorted(set(names)), {}, 1 << BITS
+        for name in classes:
+            at = [i for i, n in enumerate(names) if n == name]
+            own[name] = [rows[i] for i in at[:: -(-len(at) // most)]]
+        some = [r for name in classes for r in own[name]]
+        total, squares = np.zeros(size), np.zeros(size)
+        for at, share in some:
+            total[at] += share
+            squares[at] += share.astype(float) ** 2
+        n = max(1, len(some))
+        spread = (np.sqrt(np.maximum(squares / n - (total / n) ** 2, 0)) + 1e-4).astype(np.float32)  # floors the weight of trigrams that hardly occur
         pairs, ws, bs, units = list(combinations(range(len(classes)), 2)), [], [], []
         for a, b in pairs:
-            at = np.flatnonzero((code == a) | (code == b))
-            y = np.where(code[at] == a, 1.0, -1.0).astype(np.float32)
-            z = x[at] / spread / np.sqrt(x.shape[1])
+            first, second = own[classes[a]], own[classes[b]]
+            y = np.repeat(np.array([1.0, -1.0], np.float32), [len(first), len(second)])
+            z = dense(first + second)
+            z /= spread * np.sqrt(np.float32(size))
             w, bias = linear_svm(z, y)
-            ws.append(w / spread / np.sqrt(x.shape[1]))
+            ws.append(w / spread / np.sqrt(size))
             bs.append(bias)
             units.append(max(1e-3, float(np.median(np.abs(z @ w + bias)))))
-        return cls(classes, pairs, np.array(ws, np.float32).reshape(len(pairs), x.shape[1]).T.copy(), np.array(bs), np.array(units))
+        return cls(classes, pairs, np.array(ws, np.float32).reshape(len(pairs), size).T.copy(), np.array(bs), np.array(units))
 
     def decide(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Winner by votes, margins break ties; and its mean probability against the others."""
@@ -114,6 +138,7 @@ class Votes:
 class LanguageModel:
     family: Votes | None
     within: dict[str, Votes]
+    least: float = 0.0  # score below which a text looks like none of the languages
 
     @classmethod
     def fit(cls, texts: list[bytes], langs: list[str]) -> LanguageModel:
@@ -121,14 +146,17 @@ class LanguageModel:
         if not texts:
             return cls(None, {})
         parts = [(t, lang) for t, lang in zip(texts, langs, strict=True) if t] + [(t[len(t) // 2 :][:100], lang) for t, lang in zip(texts, langs, strict=True) if len(t) > 200]
-        x = np.array([frequencies(t) for t, _ in parts], np.float32).reshape(len(parts), 1 << BITS)
+        x = [frequencies(t) for t, _ in parts]
         names = [lang for _, lang in parts]
         families = [family_of(n) for n in names]
         within = {}
         for f in sorted(set(families)):
             at = [i for i, g in enumerate(families) if g == f]
-            within[f] = Votes.fit(x[at], [names[i] for i in at])
-        return cls(Votes.fit(x, families), within)
+            within[f] = Votes.fit([x[i] for i in at], [names[i] for i in at])
+        model = cls(Votes.fit(x, families), within)
+        _, scores = model.predict(np.frombuffer(b"".join(t for t, _ in parts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t, _ in parts])]))
+        model.least = float(np.quantile(scores, REJECTED)) / 2 if parts else 0.0
+        return model
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and score of each text; texts lie end to end in data."""
@@ -191,15 +219,16 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text has a language."""
+    """The rows of docs, all columns, whose text has a language: it has a letter, and the score of the language predicted is not below what
+    the model takes as none (far under that of labelled texts and of short passages). Where nothing was learned, texts with a letter stay."""
     names, at = docs.columns, docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for part in slices(batches):
-            langs, _ = model.predict(*buffer_of(part.column(at)))
-            keep = [lang != UNKNOWN and any(map(str.isalpha, x or "")) for lang, x in zip(langs, part.column(at).to_pylist(), strict=True)]
-            if model.family is None:  # nothing learned, nothing rejected but texts without a letter
-                keep = [any(map(str.isalpha, x or "")) for x in part.column(at).to_pylist()]
+            _, scores = model.predict(*buffer_of(part.column(at)))
+            keep = [(model.family is None or s >= model.least) and any(map(str.isalpha, x or "")) for s, x in zip(scores, part.column(at).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in part.columns], names=names)
 
     return docs.mapInArrow(run, docs.schema)
