@@ -140,16 +140,17 @@ def test_simhash_groups(spark, odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("radius", [0, 4, 7, 28])
-def test_bit_sliced_pairs(radius):
+@pytest.mark.parametrize(("radius", "wide"), [(0, 1), (4, 1), (7, 1), (28, 1), (46, 2)])
+def test_bit_sliced_pairs(radius, wide):
     """All pairs within the radius of blocks of all sizes that share words' passes, and of parts that meet; no others."""
     rng = random.Random(radius)
     sizes = [1, 2, 2, 3, 63, 64, 65, 130, 700, 1, 5, 2]
     fps = []
     for n in sizes:
-        seed = rng.getrandbits(64)
-        fps += [seed ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 2 * radius + 1))) & (1 << 64) - 1 for _ in range(n)]
-    fps = np.array(fps, np.uint64)
+        seed = rng.getrandbits(64 * wide)
+        fps += [seed ^ sum({1 << rng.randrange(64 * wide) for _ in range(rng.randint(0, 2 * radius + 1))}) for _ in range(n)]
+    whole, fps = fps, np.array([[x >> 64 * k & (1 << 64) - 1 for k in range(wide)] for x in fps], np.uint64)
+    fps = fps[:, 0].copy() if wide == 1 else fps
     starts = np.concatenate([[0], np.cumsum(sizes)])
     meets = np.arange(len(sizes))
     meets[[6, 7]], meets[11] = [7, -1], -1
@@ -162,7 +163,7 @@ def test_bit_sliced_pairs(radius):
         want = set()
         for k, m in enumerate(meets):
             for x in range(starts[k], starts[k + 1]) if m >= 0 else ():
-                want |= {(x, y) for y in range(max(x + 1, starts[m]), starts[m + 1]) if int(fps[x] ^ fps[y]).bit_count() <= radius}
+                want |= {(x, y) for y in range(max(x + 1, starts[m]), starts[m + 1]) if (whole[x] ^ whole[y]).bit_count() <= radius}
         assert got == want
 
 

@@ -13,9 +13,10 @@ Two operators compare in this way and differ in what they file:
   blocks. m follows from the number of distinct fingerprints such that files stay short at any size; every choice of m gives the same links.
 * ``near_copies`` links texts whose shingle sets have a Jaccard similarity of ``similarity`` or more. No radius that pigeonholes can serve finds
   all of them (at 0.8 about ten bits differ, with wide spread), so texts are filed by their rare shingles: if all sets are sorted by one
-  order, two that are similar enough share one among the first n - ceil(similarity * n) + 1 of each. Within a file fingerprints are compared
-  at a wide radius, ``WIDE``: at a similarity of 0.8 fewer than one pair in ten million differs by more. What remains joins into loose groups, and within
-  a loose group all whole sets are compared exactly. Large loose groups are dealt into parts like files.
+  order, two that are similar enough share one among the first n - ceil(similarity * n) + 1 of each. Within a file fingerprints of 128 bits are
+  compared at a wide radius, ``WIDE``: of pairs at a similarity of 0.8 fewer than one in ten million differs by more (of sets of four and five shingles one in
+  200,000), of unrelated ones fewer than one in a thousand by less. What remains joins into loose groups, and within a loose group all whole sets are
+  compared exactly. Large loose groups are dealt into parts like files.
 
 Only distinct fingerprints or sets are compared; copies join at the end. Null and word-less texts have fingerprint zero and an empty set and
 are linked like any other. Null ids count as greatest; repeated rows are one group. Empty tables give empty tables. Very long texts are hashed
@@ -39,8 +40,8 @@ from tidewell.operators.components import components
 from .common import SPACES, sample_by_hash, scratch, slices, staged, utf8
 
 FILE_ROWS = 4096
-#: Radius at which fingerprints are compared before whole sets are.
-WIDE = 28
+#: Radius at which fingerprints of 128 bits are compared before whole sets are.
+WIDE = 46
 #: Rows and shingles of a part of a loose group.
 PART_ROWS, PART_SHINGLES = 1024, 1 << 22
 #: Texts that the order of shingles is taken from, at least, and the share of all of them.
@@ -89,7 +90,7 @@ def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_co
 
 
 def pairs_within(fps: np.ndarray, starts: np.ndarray, meets: np.ndarray, radius: int, words_at_once: int = 2048, entries_at_once: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Batches of index pairs of fingerprints (uint64) that differ in at most ``radius`` bits.
+    """Batches of index pairs of fingerprints (uint64, or rows of several) that differ in at most ``radius`` bits.
 
     ``starts`` has where each block begins, and the end; ``meets`` the block that each is compared with: itself, the one after it, or -1 for none.
     """
@@ -101,14 +102,15 @@ def pairs_within(fps: np.ndarray, starts: np.ndarray, meets: np.ndarray, radius:
         last += bool(meets[last - 1] == last)
         begin, total = starts[first], int(edges[last] - edges[first])
         block = np.repeat(np.arange(first, last), np.diff(starts[first : last + 1]))
-        own = fps[begin : starts[last]]
+        own = fps[begin : starts[last]].reshape(len(block), -1)
+        wide = own.shape[1]
         slot = (edges[block] - edges[first]) * 64 + np.arange(begin, starts[last]) - starts[block]
         row_of = np.full(total * 64, -1, np.int64)
         row_of[slot] = np.arange(len(own))
-        lanes = np.zeros(total * 64, np.uint64)
+        lanes = np.zeros((total * 64, wide), np.uint64)
         lanes[slot] = own
-        bits = np.unpackbits(lanes.view(np.uint8).reshape(total, 64, 8), axis=2, bitorder="little")
-        planes = np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view(np.uint64).reshape(64, total)
+        bits = np.unpackbits(lanes.view(np.uint8).reshape(total, 64, 8 * wide), axis=2, bitorder="little")
+        planes = np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view(np.uint64).reshape(64 * wide, total)
         valid = np.ascontiguousarray(np.packbits((row_of >= 0).reshape(total, 64), axis=1, bitorder="little")).view(np.uint64)[:, 0]
         # words that each fingerprint meets: those of its own block from its own on, or all of the next block
         other = meets[block]
@@ -132,15 +134,15 @@ def _near(fps: np.ndarray, planes: np.ndarray, valid: np.ndarray, q: np.ndarray,
     """(query, word, lanes within the radius) for the entries that have any."""
     counters = [np.zeros(len(q), np.uint64) for _ in range(max(1, radius.bit_length()))]
     over, own = ~valid[word], fps[q]
-    for p in range(64):
-        carry = planes[p][word] ^ (np.uint64(0) - (own >> np.uint64(p) & np.uint64(1)))
+    for p in range(len(planes)):
+        carry = planes[p][word] ^ (np.uint64(0) - (own[:, p >> 6] >> np.uint64(p & 63) & np.uint64(1)))
         for k, counter in enumerate(counters):
             counters[k], carry = counter ^ carry, counter & carry
         over |= carry
         if p >= radius and p % 8 == 7:
             beyond = over | _greater(counters, radius)
             open_ = beyond != _ALL
-            if p == 63 or open_.sum() < 0.8 * len(open_):
+            if p == len(planes) - 1 or open_.sum() < 0.8 * len(open_):
                 q, word, own, over, counters, beyond = q[open_], word[open_], own[open_], over[open_], [c[open_] for c in counters], beyond[open_]
     return q, word, ~beyond
 
@@ -256,6 +258,13 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, id_col: str
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def wide_fingerprint(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits: the majority of the hashes, and that of the hashes mixed once more."""
+    h = shingles.view(np.uint64)
+    mixed = (h ^ h >> np.uint64(31)) * np.uint64(0x9FB21C651E98DF25)
+    return majority(h), majority(mixed ^ mixed >> np.uint64(28))
+
+
 def shingle_set(text: bytes, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, size, 0).view(np.int64))
 
@@ -290,7 +299,7 @@ def alike(sets: list[np.ndarray], fps: np.ndarray, part: np.ndarray, crossing: b
     edges, mark = np.concatenate([[0], np.cumsum(n)]), np.zeros(len(coded) + 1, bool)
     for a in range(len(sets) - 1):
         rest = np.arange(a + 1, len(sets))
-        fits = (label[rest] != label[a]) & (np.minimum(n[rest], n[a]) >= similarity * np.maximum(n[rest], n[a]) - 1e-9) & (np.bitwise_count(fps[rest] ^ fps[a]) <= WIDE)
+        fits = (label[rest] != label[a]) & (np.minimum(n[rest], n[a]) >= similarity * np.maximum(n[rest], n[a]) - 1e-9) & (np.bitwise_count(fps[rest] ^ fps[a]).sum(1) <= WIDE)
         rest = rest[fits & (part[rest] != part[a])] if crossing else rest[fits]
         if not len(rest):
             continue
@@ -323,41 +332,41 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, row_col
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in slices(batches):
                 own = [shingle_set(t, size) for t in utf8(part.column(1))]
-                fp = np.array([majority(s.view(np.uint64)) for s in own], np.uint64).view(np.int64)
-                cols = [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in own], pa.binary()), pa.array([len(s) for s in own], pa.int64()), pa.array(fp), pa.array([prefix(s) for s in own], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["row", "digest", "n", "fp", "prefix"])
+                fp = np.array([wide_fingerprint(s) for s in own], np.uint64).reshape(-1, 2).view(np.int64)
+                cols = [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in own], pa.binary()), pa.array([len(s) for s in own], pa.int64()), pa.array(fp[:, 0].copy()), pa.array(fp[:, 1].copy()), pa.array([prefix(s) for s in own], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["row", "digest", "n", "fp", "fq", "prefix"])
 
-        read = staged(rows.mapInArrow(run, "row long, digest binary, n long, fp long, prefix array<long>"), "prefixes")
+        read = staged(rows.mapInArrow(run, "row long, digest binary, n long, fp long, fq long, prefix array<long>"), "prefixes")
         named = staged(read.groupBy("digest").agg(F.min("row").alias("rep")), "sets")
         again = staged(read.select("row", "digest").join(named, "digest").where("row != rep").select("row"), "equal-sets")
-        listed = read.join(again, "row", "left_anti").select("row", "n", "fp", F.posexplode("prefix").alias("at", "h"))
+        listed = read.join(again, "row", "left_anti").select("row", "n", "fp", "fq", F.posexplode("prefix").alias("at", "h"))
         several = staged(listed.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "shared-shingles")
         filed = dealt(listed.join(several, "h").withColumn("parts", F.ceil(F.col("m") / FILE_ROWS)).drop("m"), ["h"], "row")
 
         def loosely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for h, i, j, part, row, fp, n, at in whole_files(batches, 3):
+            for h, i, j, part, row, fp, fq, n, at in whole_files(batches, 3):
                 left = n - at  # the most that can be shared from a first common shingle on
                 fits = lambda a, b: (1 + similarity) * np.minimum(left[a], left[b]) >= similarity * (n[a] + n[b]) - 1e-9  # noqa: E731, B023
-                a, b = local_links(fp.view(np.uint64), *blocks_of([h], i, j, part), WIDE, fits)
+                a, b = local_links(np.stack([fp, fq], 1).view(np.uint64), *blocks_of([h], i, j, part), WIDE, fits)
                 yield pa.RecordBatch.from_arrays([pa.array(row[a]), pa.array(row[b])], names=["a", "b"])
 
-        loose = staged(components(filed.select("h", "i", "j", "part", "row", "fp", "n", "at").mapInArrow(loosely, "a long, b long").distinct(), "a", "b"), "loose")
-        members = staged(loose.select(F.col("node").alias("row"), "component").join(read.select("row", "n", "fp"), "row"), "members")
+        loose = staged(components(filed.select("h", "i", "j", "part", "row", "fp", "fq", "n", "at").mapInArrow(loosely, "a long, b long").distinct(), "a", "b"), "loose")
+        members = staged(loose.select(F.col("node").alias("row"), "component").join(read.select("row", "n", "fp", "fq"), "row"), "members")
         sizes = members.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / PART_ROWS, F.sum("n") / PART_SHINGLES)).alias("parts"))
-        members = staged(members.join(sizes, "component").select("row", "component", "parts", "fp"), "placed")
-        sets = _sets(members.join(rows, "row").select("row", "component", "parts", "fp", "text"), size)
+        members = staged(members.join(sizes, "component").select("row", "component", "parts", "fp", "fq"), "placed")
+        sets = _sets(members.join(rows, "row").select("row", "component", "parts", "fp", "fq", "text"), size)
 
         def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for component, i, j, part, row, fp, shingles in whole_files(batches, 3):
+            for component, i, j, part, row, fp, fq, shingles in whole_files(batches, 3):
                 cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in (component, i, j)], axis=0)) + 1
                 found: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
                 for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(row)], strict=True):
-                    a, b = alike(list(shingles[x:y]), fp[x:y].view(np.uint64), part[x:y], bool(i[x] != j[x]), similarity)
+                    a, b = alike(list(shingles[x:y]), np.stack([fp[x:y], fq[x:y]], 1).view(np.uint64), part[x:y], bool(i[x] != j[x]), similarity)
                     found.append(row[x:y][np.stack([a, b])])
                 a, b = np.concatenate(found, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        links = dealt(sets, ["component"], "row").select("component", "i", "j", "part", "row", "fp", "shingles").mapInArrow(compared, "a long, b long").distinct()
+        links = dealt(sets, ["component"], "row").select("component", "i", "j", "part", "row", "fp", "fq", "shingles").mapInArrow(compared, "a long, b long").distinct()
         linked = components(links, "a", "b").withColumnRenamed("node", "rep")
         roots = staged(named.join(linked, "rep", "left").select("digest", F.coalesce("component", "rep").alias("root")), "near-roots")
         found = kept.keep(staged(read.select("row", "digest").join(roots, "digest").select(F.col("row").alias(row_col), "root"), "near-copies"))
