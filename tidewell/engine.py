@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewell.functions import jsons
 from tidewell.operators import filters
-from tidewell.plans import pql
+from tidewell.plans import dml, pql
+from tidewell.sources import catalog
 from tidewell.sources.catalog import Catalog
 
 
@@ -17,8 +22,24 @@ class Engine:
         self.catalog = Catalog(spark)
 
     def sql(self, text: str, args: dict[str, Any] | None = None) -> DataFrame:
-        """Spark SQL over tables of namespace default; args bind :name markers."""
-        return self.spark.sql(text, args=args or {})
+        """Spark SQL over tables of namespace default, with ANY and ALL of subqueries, QUALIFY, JSON arrows and statements that change tables; args bind :name markers."""
+
+        def query(own: str) -> DataFrame:
+            self.catalog.open_named(own)
+            own = dml.rewritten(own)
+            if "jsonb_" in own:
+                jsons.register(self.spark)
+            return self.spark.sql(own, args=args or {})
+
+        self.catalog.open_named(text)
+        changed = dml.run(text, self.catalog, query)
+        if changed is not None:
+            return changed
+        return dml.qualified(text, query) if re.search(r"\bQUALIFY\b", text, re.I) else query(text)
+
+    def prepare(self, text: str) -> Callable[..., DataFrame]:
+        """A query to be run with other values of its :name markers; Spark plans it for each, as literals may prune files."""
+        return lambda **values: self.sql(text, values)
 
     def pql(self, text: str, **params: Any) -> DataFrame:
         return pql.run(text, self.catalog, params)
@@ -27,8 +48,45 @@ class Engine:
         df = self.catalog.resolve(name).where(filters.matches(where or {}))
         return df.offset(offset).limit(limit) if limit is not None else df.offset(offset)
 
+    def put(self, name: str, rows: DataFrame, key: str | list[str] = "_id") -> DataFrame:
+        """Whole rows by key, added or replacing those there."""
+        known = self.catalog.known(name)
+        return self.catalog.store(name, catalog.upsert(self.catalog.resolve(name), rows, key) if known else rows)
+
+    def update(self, name: str, where: dict[str, Any], change: dict[str, dict[str, Any]], upsert: bool = False, array_filters: list[dict[str, Any]] | None = None) -> DataFrame:
+        df = self.catalog.resolve(name)
+        return self.catalog.store(name, filters.upsert_where(df, where, change) if upsert else filters.update(df, where, change, array_filters))
+
+    def delete(self, name: str, where: dict[str, Any]) -> DataFrame:
+        return self.catalog.store(name, self.catalog.resolve(name).where(~filters.matches(where)))
+
     def aggregate(self, name: str, stages: list[dict[str, Any]]) -> DataFrame:
         return filters.aggregate(self.catalog.resolve(name), stages, self.catalog.resolve)
 
-    def explain(self, df: DataFrame) -> str:
-        return df._jdf.queryExecution().toString()
+    def function(self, name: str, f: Any, returns: str | None = None) -> None:
+        """Makes a function known to SQL and the pipeline language: SQL text of its body as ``(a INT, b INT) RETURNS INT RETURN a + b``, a pandas function or aggregate, a table function, or plain Python with its return type."""
+        if isinstance(f, str):
+            self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name} {f}")
+        elif type(f).__name__ == "UserDefinedTableFunction":
+            self.spark.udtf.register(name, f)
+        else:
+            self.spark.udf.register(name, f, *([returns] if returns else []))
+
+    def stream(self, df: DataFrame, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+        """The result in Arrow batches, a partition at a time, so that the driver never holds it whole."""
+        names = df.columns
+        held: list[tuple] = []
+        for row in df.toLocalIterator(prefetchPartitions=True):
+            held.append(tuple(row))
+            if len(held) == rows:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in held])
+                held = []
+        if held:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in held])
+
+    def explain(self, df: DataFrame, mode: str = "formatted") -> str:
+        """The plan; mode ``analyze`` runs the query first, so that adaptive execution's final plan and row counts show."""
+        if mode == "analyze":
+            df.write.format("noop").mode("overwrite").save()
+            return df._jdf.queryExecution().executedPlan().toString()
+        return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)

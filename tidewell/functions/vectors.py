@@ -40,6 +40,16 @@ def normalize(a: Column) -> Column:
     return F.when(size > 0, F.transform(a, lambda x: x.cast("double") / size)).otherwise(a)
 
 
+def embedded(text: Column, dimensions: int = 64) -> Column:
+    """A hashed bag of words: terms counted by signed hash in so many places, of length one. No model; equal words give equal vectors."""
+    from tidewell.functions.text import index_terms
+
+    hashes = F.transform(index_terms(text), lambda t: F.xxhash64(t))
+    place = lambda i: F.filter(hashes, lambda h: F.pmod(h, F.lit(dimensions)) == i)
+    sign = lambda h: F.when(F.shiftright(h, 40).bitwiseAND(F.lit(1)) == 0, 1.0).otherwise(-1.0)
+    return normalize(F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(place(i), F.lit(0.0), lambda s, h: s + sign(h))))
+
+
 def score(metric: str, a: Column, b: Column) -> Column:
     """Higher is nearer: cosine in [-1, 1], dot, minus the squared L2 distance, minus the Hamming distance."""
     return {"cosine": cosine, "dot": dot, "l2": lambda x, y: -l2_squared(x, y), "hamming": lambda x, y: -hamming(x, y).cast("double")}[metric.lower()](a, b)
@@ -57,9 +67,33 @@ def centroid(df: DataFrame, vector: str, by: list[str]) -> DataFrame:
     return pairs.select(*by, F.transform("_v", lambda p: p["_m"]).alias("centroid"))
 
 
-def top_k(df: DataFrame, query: list[float], k: int = 10, metric: str = "cosine", vector: str = "embedding", threshold: float | None = None) -> DataFrame:
-    """The k rows of highest score within df, filtered beforehand by whatever df filters: one scan and a top-k without a full sort."""
+def meta_matches(wanted: dict[str, str], meta: str = "meta") -> Column:
+    """All of the entries stand in a map column. Applied before ranking, so a search still gives k rows."""
+    out = F.lit(True)
+    for k, v in wanted.items():
+        out = out & F.coalesce(F.try_element_at(F.col(meta), F.lit(k)) == v, F.lit(False))
+    return out
+
+
+def checked(df: DataFrame, dimensions: int, vector: str = "embedding") -> DataFrame:
+    """Rows as they are; reading one whose vector isn't of that many dimensions fails."""
+    wrong = F.col(vector).isNotNull() & (F.size(vector) != dimensions)
+    return df.withColumn(vector, F.when(wrong, F.raise_error(F.concat(F.lit("dimension mismatch: "), F.size(vector).cast("string")))).otherwise(F.col(vector)))
+
+
+def fused(df: DataFrame, queries: dict[str, tuple[list[float], float]], k: int = 10, metric: str = "cosine") -> DataFrame:
+    """The k rows of highest weighted sum of scores over several vector columns: {column: (query, weight)}. A null vector scores 0."""
+    total = F.lit(0.0)
+    for column, (query, weight) in queries.items():
+        total = total + weight * F.coalesce(score(metric, F.col(column), literal(query)), F.lit(0.0))
+    return df.withColumn("_vector_score", total).orderBy(F.desc("_vector_score"), df.columns[0]).limit(k)
+
+
+def top_k(df: DataFrame, query: list[float], k: int = 10, metric: str = "cosine", vector: str = "embedding", threshold: float | None = None, most: float | None = None) -> DataFrame:
+    """The k rows of highest score within df, filtered beforehand by whatever df filters: one scan and a top-k without a full sort. threshold and most bound the score."""
     scored = df.withColumn("_vector_score", score(metric, F.col(vector), literal(query)))
     if threshold is not None:
         scored = scored.where(F.col("_vector_score") >= threshold)
+    if most is not None:
+        scored = scored.where(F.col("_vector_score") <= most)
     return scored.orderBy(F.desc("_vector_score"), *[c for c in df.columns[:1]]).limit(k)

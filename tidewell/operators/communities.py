@@ -99,6 +99,19 @@ def louvain(edges: DataFrame, rounds: int = 8, levels: int = 3) -> DataFrame:
 
 
 def cheapest_paths(edges: DataFrame, source, target, k: int, max_hops: int) -> DataFrame:
-    """The k cycle-free paths of least cost from source to target within max_hops; ties by hops, then by nodes."""
-    start = edges.sparkSession.createDataFrame([(source,)], f"node {edges.schema['src'].dataType.simpleString()}")
-    return paths(edges, start, 1, max_hops).where(F.element_at("path", -1) == F.lit(target)).orderBy("cost", "length", "path").limit(k)
+    """path, cost, length: the k cycle-free paths of least cost from source to target within max_hops; ties by hops, then by nodes.
+
+    Paths grow from both ends, half of the hops each, and meet in a join on the node between, so rows grow with half the hops.
+    """
+    kind, spark = edges.schema["src"].dataType.simpleString(), edges.sparkSession
+    turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    ahead, back = -(-max_hops // 2), max_hops // 2
+    here = lambda node, e, n: spark.createDataFrame([([node], 0.0)], f"path array<{kind}>, cost double").unionByName(paths(e, spark.createDataFrame([(node,)], f"node {kind}"), 1, n).select("path", "cost")) if n else spark.createDataFrame([([node], 0.0)], f"path array<{kind}>, cost double")
+    left, right = here(source, edges, ahead), here(target, turned, back)
+    left = left.select(F.element_at("path", -1).alias("mid"), F.col("path").alias("a"), F.col("cost").alias("x"))
+    right = right.select(F.element_at("path", -1).alias("mid"), F.slice(F.reverse("path"), 2, F.size("path")).alias("b"), F.col("cost").alias("y"))
+    met = left.join(right, "mid").where(~F.arrays_overlap("a", "b") | (F.size("b") == 0))
+    # a path of n hops is met once: with as many hops behind the middle as there can be
+    met = met.where((F.size("a") - 1 == F.lit(ahead)) | (F.size("b") == 0))
+    whole = met.select(F.concat("a", "b").alias("path"), (F.col("x") + F.col("y")).alias("cost"))
+    return whole.withColumn("length", F.size("path") - 1).where("length > 0").orderBy("cost", "length", "path").limit(k)

@@ -2,27 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidewell.functions import geo
+from tidewell.functions.documents import TYPE_NAMES, Scope, compiled
+from tidewell.functions.text import searched
+from tidewell.sources.stages import staged
 
-def matches(spec: dict[str, Any]) -> Column:
-    """A filter like {"age": {"$gt": 3}, "$or": [...]}. A missing field fails every comparison, $ne and $nin too."""
+
+def matches(spec: dict[str, Any], text: str = "text") -> Column:
+    """A filter like {"age": {"$gt": 3}, "$or": [...]}. A missing field fails every comparison, $ne and $nin too. ``text``: the column that $text searches."""
     parts = []
     for key, want in spec.items():
         if key in ("$and", "$or", "$nor"):
-            own = [matches(s) for s in want]
+            own = [matches(s, text) for s in want]
             both = reduce(lambda a, b: a & b if key == "$and" else a | b, own)
             parts.append(~both if key == "$nor" else both)
         elif key == "$not":
-            parts.append(~matches(want))
+            parts.append(~matches(want, text))
         elif key == "$expr":
-            parts.append(F.expr(want))
+            parts.append(F.expr(want) if isinstance(want, str) and not want.startswith("$") else F.coalesce(compiled(want, Scope()).cast("boolean"), F.lit(False)))
+        elif key == "$text":
+            parts.append(searched(F.col(text), want["$search"], want.get("$caseSensitive", False)))
+        elif key == "$jsonSchema":
+            parts.append(conforms(want))
         elif isinstance(want, dict) and any(k.startswith("$") for k in want):
-            parts += [_compare(F.col(key), op, v, want) for op, v in want.items() if op != "$options"]
+            parts += [_compare(F.col(key), op, v, want) for op, v in want.items() if op not in ("$options", "$maxDistance", "$minDistance")]
         else:
             parts.append(F.coalesce(F.col(key) == F.lit(want), F.lit(False)) if want is not None else F.col(key).isNull())
     return reduce(lambda a, b: a & b, parts, F.lit(True))
@@ -39,7 +50,8 @@ def _compare(c: Column, op: str, v: Any, whole: dict[str, Any]) -> Column:
     elif op == "$exists":
         return c.isNotNull() if v else c.isNull()
     elif op == "$type":
-        out = F.typeof(c) == v
+        out = F.typeof(c).isin(*TYPE_NAMES[v]) if v in TYPE_NAMES else F.typeof(c).startswith("array") if v == "array" else F.typeof(c).startswith("struct") | F.typeof(c).startswith("map") if v == "object" else F.typeof(c) == v
+        out = out & c.isNotNull()
     elif op == "$regex":
         out = c.rlike(("(?i)" if "i" in whole.get("$options", "") else "") + v)
     elif op == "$mod":
@@ -49,11 +61,13 @@ def _compare(c: Column, op: str, v: Any, whole: dict[str, Any]) -> Column:
     elif op == "$size":
         out = F.size(c) == v
     elif op == "$elemMatch":
-        out = F.exists(c, lambda x: reduce(lambda a, b: a & b, [_compare(x[k] if not k.startswith("$") else x, o, w, s) for k, s in v.items() for o, w in (s.items() if isinstance(s, dict) else [("$eq", s)])]) if not any(k.startswith("$") for k in v) else reduce(lambda a, b: a & b, [_compare(x, o, w, v) for o, w in v.items()]))
-    elif op == "$bitsAllSet":
-        out = c.bitwiseAND(F.lit(v)) == v
-    elif op == "$bitsAnyClear":
-        out = c.bitwiseAND(F.lit(v)) != v
+        out = F.exists(c, lambda x: element_matches(x, v))
+    elif op in ("$bitsAllSet", "$bitsAllClear", "$bitsAnySet", "$bitsAnyClear"):
+        mask = v if isinstance(v, int) else sum(1 << b for b in v)
+        own = c.bitwiseAND(F.lit(mask))
+        out = {"$bitsAllSet": own == mask, "$bitsAllClear": own == 0, "$bitsAnySet": own != 0, "$bitsAnyClear": own != mask}[op]
+    elif op in ("$geoWithin", "$geoIntersects", "$near", "$nearSphere"):
+        out = _place(c, op, v, whole)
     elif op == "$not":
         return ~F.coalesce(reduce(lambda a, b: a & b, [_compare(c, o, w, v) for o, w in v.items()]), F.lit(False))
     else:
@@ -61,30 +75,140 @@ def _compare(c: Column, op: str, v: Any, whole: dict[str, Any]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def update(df: DataFrame, where: dict[str, Any], change: dict[str, dict[str, Any]]) -> DataFrame:
-    """$set $unset $inc $mul $min $max $rename $currentDate $push $pull $pullAll $pop $addToSet on the rows that match."""
-    hit = matches(where)
+def element_matches(x: Column, spec: Any) -> Column:
+    """Whether an array's element meets a filter: comparisons of it or of its fields, or equality."""
+    if not isinstance(spec, dict):
+        return F.coalesce(x == F.lit(spec), F.lit(False))
+    if any(k.startswith("$") for k in spec):
+        return reduce(lambda a, b: a & b, [_compare(x, o, w, spec) for o, w in spec.items()])
+    return reduce(lambda a, b: a & b, [element_matches(reduce(lambda c, f: c[f], k.split("."), x), s) for k, s in spec.items()])
+
+
+def _place(c: Column, op: str, v: dict[str, Any], whole: dict[str, Any]) -> Column:
+    """c is [longitude, latitude]. $near keeps what lies within $maxDistance metres and beyond $minDistance; order by geo.distance to rank."""
+    lon, lat = c[0].cast("double"), c[1].cast("double")
+    if op in ("$near", "$nearSphere"):
+        point = v["$geometry"]["coordinates"]
+        far = v if "$maxDistance" in v or "$minDistance" in v else whole
+        metres = geo.distance(lon, lat, F.lit(float(point[0])), F.lit(float(point[1])))
+        return (metres <= far.get("$maxDistance", float("inf"))) & (metres >= far.get("$minDistance", 0))
+    if "$box" in v:
+        (x1, y1), (x2, y2) = v["$box"]
+        return geo.within_box(lon, lat, (min(x1, x2), min(y1, y2)), (max(x1, x2), max(y1, y2)))
+    if "$center" in v:
+        (x, y), r = v["$center"]
+        return F.hypot(lon - x, lat - y) <= r
+    if "$centerSphere" in v:
+        point, radians = v["$centerSphere"]
+        return geo.within_circle(lon, lat, tuple(point), radians * geo.EARTH_METRES)
+    shape = v.get("$geometry", {})
+    if shape.get("type") == "Point":
+        return (lon == shape["coordinates"][0]) & (lat == shape["coordinates"][1])
+    ring = v["$polygon"] if "$polygon" in v else shape["coordinates"][0]
+    ring = ring[:-1] if ring[0] == ring[-1] else ring
+    return geo.within_polygon(lon, lat, [tuple(map(float, p)) for p in ring])
+
+
+def conforms(schema: dict[str, Any], at: Column | None = None) -> Column:
+    """Whether a row, or the object at a column, meets a schema of required, properties, enum, type, minimum, maximum, lengths, pattern and items."""
+    get = (lambda k: F.col(k)) if at is None else (lambda k: at[k])
+    parts = [get(k).isNotNull() for k in schema.get("required", ())]
+    parts += [get(k).isNull() | _value_conforms(get(k), own) for k, own in schema.get("properties", {}).items()]
+    return F.coalesce(reduce(lambda a, b: a & b, parts, F.lit(True)), F.lit(False))
+
+
+def _value_conforms(c: Column, own: dict[str, Any]) -> Column:
+    kinds = own.get("bsonType", own.get("type"))
+    kinds = [kinds] if isinstance(kinds, str) else kinds or []
+    names = {"number": ["int", "long", "double"], "integer": ["int", "long"], "boolean": ["bool"]}
+    parts = [reduce(lambda a, b: a | b, [_compare(c, "$type", t, {}) for k in kinds for t in names.get(k, [k])])] if kinds else []
+    checks = {
+        "enum": lambda v: c.isin(*v), "minimum": lambda v: c >= v, "maximum": lambda v: c <= v, "exclusiveMinimum": lambda v: c > v, "exclusiveMaximum": lambda v: c < v, "minLength": lambda v: F.char_length(c) >= v, "maxLength": lambda v: F.char_length(c) <= v,
+        "pattern": lambda v: c.rlike(v), "minItems": lambda v: F.size(c) >= v, "maxItems": lambda v: F.size(c) <= v, "uniqueItems": lambda v: F.size(F.array_distinct(c)) == F.size(c) if v else F.lit(True), "items": lambda v: F.forall(c, lambda x: _value_conforms(x, v)), "multipleOf": lambda v: c % v == 0,
+    }
+    parts += [F.coalesce(f(own[k]), F.lit(False)) for k, f in checks.items() if k in own]
+    if "properties" in own or "required" in own:
+        parts.append(conforms(own, c))
+    return reduce(lambda a, b: a & b, parts, F.lit(True))
+
+
+def update(df: DataFrame, where: dict[str, Any], change: dict[str, dict[str, Any]], array_filters: list[dict[str, Any]] | None = None) -> DataFrame:
+    """$set $unset $inc $mul $min $max $rename $currentDate $push $pull $pullAll $pop $addToSet on the rows that match.
+
+    What matches and all new values come from the row as it was, several operators on one field apply in turn. Names may be paths into structs;
+    ``a.$[]`` is every element of an array, ``a.$[x]`` those that the array filter x accepts, ``a.$`` the first that the query's own condition on a accepts.
+    $unset leaves null, or drops the column where every row matches by an empty filter.
+    """
+    hit, values, dropped = "__hit", {}, set()
+    named = {k.split(".")[0]: (k, v) for f in array_filters or () for k, v in f.items()}
+    df = df.withColumn(hit, matches(where))
     for op, fields in change.items():
-        for name, v in fields.items():
+        for path, v in fields.items():
+            head, *rest = path.split(".")
+            old = values.get(head, F.col(head) if head in df.columns else F.lit(None))
             if op == "$rename":
-                df = df.withColumn(v, F.when(hit, F.col(name))).withColumn(name, F.when(~hit, F.col(name)))
+                values[v], values[head] = old, F.lit(None)
+                dropped |= {head} if not where else set()
                 continue
-            old = F.col(name) if name in df.columns else F.lit(None)
-            new = {
-                "$set": lambda: F.lit(v), "$unset": lambda: F.lit(None), "$inc": lambda: F.coalesce(old, F.lit(0)) + v, "$mul": lambda: F.coalesce(old, F.lit(0)) * v,
-                "$min": lambda: F.least(old, F.lit(v)), "$max": lambda: F.greatest(old, F.lit(v)), "$currentDate": lambda: F.current_timestamp(),
-                "$push": lambda: _push(old, v), "$pull": lambda: F.filter(old, lambda x: x != F.lit(v)), "$pullAll": lambda: F.filter(old, lambda x: ~x.isin(*v)),
-                "$pop": lambda: F.when(F.size(old) > 0, F.slice(old, 1, F.size(old) - 1) if v == 1 else F.slice(old, 2, F.size(old))).otherwise(old),
-                "$addToSet": lambda: F.when(F.array_contains(old, v), old).otherwise(F.array_append(old, F.lit(v))),
-            }[op]()
-            df = df.withColumn(name, F.when(hit, new).otherwise(old))
-    return df
+            if op == "$unset" and not rest and not where:
+                dropped.add(head)
+            values[head] = _put(old, rest, lambda c, op=op, v=v: _changed(op, c, v), named, where.get(head))
+    out = [F.when(F.col(hit), values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in df.columns if c != hit and c not in dropped]
+    out += [F.when(F.col(hit), v).alias(c) for c, v in values.items() if c not in df.columns]
+    return df.select(*out)
+
+
+def _put(old: Column, path: list[str], new: Callable[[Column], Column], named: dict[str, tuple[str, Any]], asked: Any) -> Column:
+    if not path:
+        return new(old)
+    step, rest = path[0], path[1:]
+    if step == "$":
+        first = F.array_position(F.transform(old, lambda x: element_matches(x, asked["$elemMatch"] if isinstance(asked, dict) and "$elemMatch" in asked else asked)), F.lit(True))
+        return F.transform(old, lambda x, i: F.when(i + 1 == first, _put(x, rest, new, named, None)).otherwise(x))
+    if step.startswith("$["):
+        name = step[2:-1]
+
+        def accepted(x: Column) -> Column:
+            key, spec = named[name]
+            return element_matches(x, {key.split(".", 1)[1]: spec} if "." in key else spec)
+
+        return F.transform(old, lambda x: _put(x, rest, new, named, None) if not name else F.when(accepted(x), _put(x, rest, new, named, None)).otherwise(x))
+    return old.withField(step, _put(old[step], rest, new, named, None))
+
+
+def _changed(op: str, old: Column, v: Any) -> Column:
+    known: dict[str, Callable[[], Column]] = {
+        "$set": lambda: _literal(v), "$setOnInsert": lambda: old, "$unset": lambda: F.lit(None), "$inc": lambda: F.coalesce(old, F.lit(0)) + v, "$mul": lambda: F.coalesce(old, F.lit(0)) * v,
+        "$min": lambda: F.least(old, F.lit(v)), "$max": lambda: F.greatest(old, F.lit(v)), "$currentDate": lambda: F.current_timestamp(),
+        "$push": lambda: _push(old, v), "$pull": lambda: F.filter(old, lambda x: ~element_matches(x, v)), "$pullAll": lambda: F.filter(old, lambda x: ~x.isin(*v)),
+        "$pop": lambda: F.when(F.size(old) > 0, F.slice(old, 1, F.size(old) - 1) if v == 1 else F.slice(old, 2, F.size(old))).otherwise(old),
+        "$addToSet": lambda: F.array_union(old, _literal(v["$each"])) if isinstance(v, dict) and "$each" in v else F.when(F.array_contains(old, v), old).otherwise(F.array_append(old, F.lit(v))),
+    }
+    if op not in known:
+        raise ValueError(f"unknown update operator {op}")
+    return known[op]()
+
+
+def _literal(v: Any) -> Column:
+    if isinstance(v, dict):
+        return F.struct(*[_literal(x).alias(k) for k, x in v.items()])
+    return F.array(*map(_literal, v)) if isinstance(v, (list, tuple)) else F.lit(v)
+
+
+def upsert_where(df: DataFrame, where: dict[str, Any], change: dict[str, dict[str, Any]]) -> DataFrame:
+    """update, and where no row matches one new row of the filter's equalities, $set, $inc and $setOnInsert."""
+    fresh = {k: v for k, v in where.items() if not k.startswith("$") and not isinstance(v, dict)}
+    for op in ("$set", "$inc", "$setOnInsert"):
+        fresh |= change.get(op, {})
+    row = df.sparkSession.range(1).select(*[_literal(fresh[f.name]).cast(f.dataType).alias(f.name) if f.name in fresh else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema])
+    found = df.where(matches(where)).limit(1).select(F.lit(True).alias("__any"))
+    return update(df, where, change).unionByName(row.join(found, F.lit(True), "left_anti"), allowMissingColumns=True)
 
 
 def _push(old: Column, v: Any) -> Column:
-    if not isinstance(v, dict):
-        return F.array_append(old, F.lit(v))
-    each = F.array(*map(F.lit, v["$each"]))
+    if not isinstance(v, dict) or "$each" not in v:
+        return F.array_append(old, _literal(v))
+    each = F.array(*map(_literal, v["$each"]))
     at = v.get("$position")
     out = F.concat(old, each) if at is None else F.concat(F.slice(old, 1, at), each, F.slice(old, F.lit(at + 1), F.greatest(F.size(old) - at, F.lit(0))))
     if "$sort" in v:
@@ -121,48 +245,230 @@ def sort_by_count(df: DataFrame, by: str) -> DataFrame:
     return df.groupBy(by).agg(F.count("*").alias("count")).orderBy(F.desc("count"), by)
 
 
-ACCUMULATORS = {"$sum": lambda v: F.sum(v) if isinstance(v, str) else F.sum(F.lit(v)), "$avg": F.avg, "$min": F.min, "$max": F.max, "$push": F.collect_list, "$addToSet": F.collect_set, "$first": F.first, "$last": F.last, "$count": lambda v: F.count("*")}
+ACCUMULATORS: dict[str, Callable[[Column], Column]] = {"$sum": F.sum, "$avg": F.avg, "$min": F.min, "$max": F.max, "$push": F.collect_list, "$addToSet": F.collect_set, "$first": F.first, "$last": F.last, "$stdDevPop": F.stddev_pop, "$stdDevSamp": F.stddev_samp, "$count": lambda c: F.count(F.lit(1))}
 
 
 def aggregate(df: DataFrame, stages: list[dict[str, Any]], resolve: Any = None) -> DataFrame:
-    """$match $project $addFields $group $unwind $sort $limit $skip $count $lookup $bucket $sortByCount $replaceRoot, in their order."""
-    name = lambda s: s[1:] if isinstance(s, str) and s.startswith("$") else s
+    """$match $project $addFields $set $unset $group $bucket $sortByCount $unwind $sort $limit $skip $count $lookup $graphLookup $facet $replaceRoot $replaceWith $redact $unionWith $sample, in their order.
+
+    $first and $last of a $group are by the order of the $sort right before it.
+    """
+    order: dict[str, int] | None = None
     for stage in stages:
         (op, spec), = stage.items()
-        if op == "$match":
-            df = df.where(matches(spec))
-        elif op == "$project":
-            drops = [k for k, v in spec.items() if v == 0]
-            keeps = [F.col(k) if v == 1 else F.expr(name(v)).alias(k) for k, v in spec.items() if v != 0]
-            df = df.select(*keeps) if keeps else df.drop(*drops)
-        elif op in ("$addFields", "$set"):
-            df = df.withColumns({k: F.expr(name(v)) if isinstance(v, str) else F.lit(v) for k, v in spec.items()})
-        elif op == "$group":
-            key = spec["_id"]
-            keys = [F.expr(name(v)).alias(k) for k, v in key.items()] if isinstance(key, dict) else [F.expr(name(key)).alias("_id")] if key is not None else []
-            df = df.groupBy(*keys).agg(*[ACCUMULATORS[o](name(v)).alias(k) for k, a in spec.items() if k != "_id" for o, v in a.items()])
-        elif op == "$unwind":
-            spec = {"path": spec} if isinstance(spec, str) else spec
-            df = unwind(df, name(spec["path"]), spec.get("includeArrayIndex"), spec.get("preserveNullAndEmptyArrays", False))
-        elif op == "$sort":
-            df = df.orderBy(*[F.asc(k) if d > 0 else F.desc(k) for k, d in spec.items()])
-        elif op in ("$limit", "$skip"):
-            df = df.limit(spec) if op == "$limit" else df.offset(spec)
-        elif op == "$count":
-            df = df.agg(F.count("*").alias(spec))
-        elif op == "$lookup":
-            df = lookup(df, resolve(spec["from"]), spec["localField"], spec["foreignField"], spec["as"])
-        elif op == "$bucket":
-            df = bucket(df, name(spec["groupBy"]), spec["boundaries"], spec.get("default"))
-        elif op == "$sortByCount":
-            df = sort_by_count(df, name(spec))
-        elif op == "$replaceRoot":
-            df = df.select(f"{name(spec['newRoot'])}.*")
-        else:
+        if op not in STAGES:
             raise ValueError(f"unknown stage {op}")
+        df = STAGES[op](df, spec, order if op == "$group" else resolve)
+        order = spec if op == "$sort" else None
     return df
 
 
+def _expr(df: DataFrame, e: Any) -> Column:
+    return compiled(e, Scope(df))
+
+
+def _name(path: str) -> str:
+    return path[1:] if path.startswith("$") else path
+
+
+def _project(df: DataFrame, spec: dict[str, Any], _: Any) -> DataFrame:
+    """0 leaves out, 1 takes, anything else computes; fields of objects by path. Only-leaving-out keeps the others."""
+    if all(v in (0, False) and not isinstance(v, (dict, str)) for v in spec.values()):
+        tops = [k for k in spec if "." not in k]
+        for k in (k for k in spec if "." in k):
+            head, rest = k.split(".", 1)
+            df = df.withColumn(head, F.col(head).dropFields(rest))
+        return df.drop(*tops)
+    out: list[Column] = []
+    nested: dict[str, list[str]] = {}
+    for k, v in spec.items():
+        if v in (0, False) and not isinstance(v, (dict, str)):
+            continue
+        if v in (1, True) and not isinstance(v, (dict, str)):
+            head, _, rest = k.partition(".")
+            if rest:
+                nested.setdefault(head, []).append(rest)
+            elif k in df.columns:
+                out.append(F.col(k))
+        else:
+            out.append(_expr(df, v).alias(k))
+    out += [F.struct(*[F.col(f"{head}.{r}").alias(r.split(".")[-1]) for r in rest]).alias(head) for head, rest in nested.items()]
+    return df.select(*out)
+
+
+def _group(df: DataFrame, spec: dict[str, Any], order: dict[str, int] | None) -> DataFrame:
+    """Keys of an object _id become columns of their names."""
+    key = spec["_id"]
+    keys = [_expr(df, v).alias(k) for k, v in key.items()] if isinstance(key, dict) and not any(k.startswith("$") for k in key) else [_expr(df, key).alias("_id")] if key is not None else []
+    out = []
+    for name, made in spec.items():
+        if name == "_id":
+            continue
+        (op, arg), = made.items()
+        value = _expr(df, arg if op != "$count" else 1)
+        if op in ("$first", "$last") and order:
+            out.append(_at_end(df, value, order, op == "$first").alias(name))
+        elif op == "$mergeObjects":
+            fields = Scope(df).kind(value).fieldNames()
+            out.append(F.struct(*[F.last(value[f], ignorenulls=True).alias(f) for f in fields]).alias(name))
+        else:
+            out.append(ACCUMULATORS[op](value).alias(name))
+    return df.groupBy(*keys).agg(*out)
+
+
+def _at_end(df: DataFrame, value: Column, order: dict[str, int], first: bool) -> Column:
+    """The value of the first or last row by an order, as one aggregate with partial results. Keys that run down must be numbers or times where others run up."""
+    down = {d < 0 for d in order.values()}
+    if len(down) == 1:
+        by = F.struct(*[F.col(k) for k in order])
+        return F.min_by(value, by) if first != down.pop() else F.max_by(value, by)
+    by = F.struct(*[F.col(k) if d > 0 else -F.col(k).cast("double") for k, d in order.items()])
+    return F.min_by(value, by) if first else F.max_by(value, by)
+
+
+def _lookup(df: DataFrame, spec: dict[str, Any], resolve: Any) -> DataFrame:
+    """By equality, or by a pipeline over the other collection whose $match may compare with ``let`` variables.
+
+    Equalities between a field and a variable, $$name, become the join's keys and other comparisons with variables its condition, so no pair
+    is formed that the keys don't ask for. The rest of the pipeline runs on the other side by itself.
+    """
+    if "pipeline" not in spec:
+        return lookup(df, resolve(spec["from"]), spec["localField"], spec["foreignField"], spec["as"])
+    let, other, conds = spec.get("let", {}), resolve(spec["from"]), []
+    stages = list(spec["pipeline"])
+    if stages and "$match" in stages[0] and "$expr" in stages[0]["$match"] and let:
+        match = dict(stages[0]["$match"])
+        tests = match.pop("$expr")
+        tests = tests["$and"] if isinstance(tests, dict) and "$and" in tests else [tests]
+        own = [t for t in tests if "$$" not in str(t)]
+        conds = [t for t in tests if "$$" in str(t)]
+        if own:
+            match["$expr"] = {"$and": own} if len(own) > 1 else own[0]
+        stages[0] = {"$match": match}
+    if "localField" in spec:
+        conds.append({"$eq": ["$" + spec["foreignField"], "$$__local"]})
+        let = let | {"__local": "$" + spec["localField"]}
+    # conditions need the other side's fields, so the rest runs first only as far as it filters
+    filters_ = [s for s in stages if "$match" in s]
+    other = aggregate(other, filters_, resolve)
+    rest = [s for s in stages if "$match" not in s]
+    left = df.withColumn("__n", F.monotonically_increasing_id())
+    left = staged(left, "lookup")
+    keyed = left.select("__n", *[_expr(left, v).alias(f"__v_{k}") for k, v in let.items()])
+    right = other.select(F.struct(*other.columns).alias("__doc"))
+    scope = Scope(None, {k: F.col(f"__v_{k}") for k in let}, F.col("__doc"), other.columns)
+    equal = lambda t: isinstance(t, dict) and "$eq" in t
+    on = [compiled(t["$eq"][0], scope) == compiled(t["$eq"][1], scope) if equal(t) else compiled(t, scope) for t in conds]
+    joined = keyed.join(right, reduce(lambda a, b: a & b, on)) if on else keyed.crossJoin(right)
+    pairs = joined.select("__n", "__doc.*")
+    shaped = [s for s in rest if next(iter(s)) not in ("$sort", "$limit")]
+    if any(next(iter(s)) not in ("$project", "$addFields", "$set", "$unset") for s in shaped):
+        raise ValueError("a pipeline of $lookup has $match, $project, $addFields, $set, $unset, $sort and $limit")
+    sort = next((s["$sort"] for s in rest if "$sort" in s), None)
+    limit = next((s["$limit"] for s in rest if "$limit" in s), None)
+    if limit is not None:
+        by = [F.asc(k) if d > 0 else F.desc(k) for k, d in (sort or {other.columns[0]: 1}).items()]
+        pairs = pairs.withColumn("__r", F.row_number().over(Window.partitionBy("__n").orderBy(*by))).where(F.col("__r") <= limit).drop("__r")
+    rank = F.struct(*[F.col(k) if d > 0 else -F.col(k).cast("double") for k, d in (sort or {}).items()], F.lit(0).alias("__z")).alias("__o")
+    pairs = pairs.withColumn("__o", rank)
+    for s in shaped:
+        (o, x), = s.items()
+        x = x | {"__n": 1, "__o": 1} if o == "$project" and not all(v in (0, False) and not isinstance(v, (dict, str)) for v in x.values()) else x
+        pairs = STAGES[o](pairs, x, resolve)
+    doc = F.struct(*[c for c in pairs.columns if c not in ("__n", "__o")])
+    found = pairs.groupBy("__n").agg(F.transform(F.array_sort(F.collect_list(F.struct("__o", doc.alias("d"))), *([lambda a, b: F.when(a["__o"] < b["__o"], -1).when(a["__o"] > b["__o"], 1).otherwise(0)])), lambda x: x["d"]).alias(spec["as"]))
+    return left.join(found, "__n", "left").drop("__n").withColumn(spec["as"], F.coalesce(spec["as"], F.array()))
+
+
+def _graph_lookup(df: DataFrame, spec: dict[str, Any], resolve: Any) -> DataFrame:
+    """Documents reachable from each row's startWith by connectFromField to connectToField, as an array."""
+    from tidewell.operators import graph
+
+    docs = resolve(spec["from"])
+    if "restrictSearchWithMatch" in spec:
+        docs = docs.where(matches(spec["restrictSearchWithMatch"]))
+    links = docs.select(F.col(spec["connectToField"]).alias("src"), F.col(spec["connectFromField"]).alias("dst"))
+    if isinstance(links.schema["dst"].dataType, T.ArrayType):
+        links = links.select("src", F.explode("dst").alias("dst"))
+    left = staged(df.withColumn("__n", F.monotonically_increasing_id()), "graph-lookup")
+    start = _expr(left, spec["startWith"])
+    begun = left.select("__n", (F.explode(start) if isinstance(Scope(left).kind(start), T.ArrayType) else start).alias("node")).where("node IS NOT NULL")
+    starts = begun.select("node").distinct()
+    deep = spec.get("maxDepth")
+    reached = graph.graph_lookup(links.where("src IS NOT NULL AND dst IS NOT NULL"), starts, deep) if deep != 0 else None
+    near = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth"))
+    every = near if reached is None else near.unionByName(reached.where("start != node"))
+    depth = [F.col("depth").cast("long").alias(spec["depthField"])] if "depthField" in spec else []
+    met = every.join(docs, F.col("node") == F.col(spec["connectToField"])).select("start", F.struct(*docs.columns, *depth).alias("__doc"))
+    found = begun.withColumnRenamed("node", "start").join(met, "start").groupBy("__n").agg(F.collect_set("__doc").alias(spec["as"]))
+    return left.join(found, "__n", "left").drop("__n").withColumn(spec["as"], F.coalesce(spec["as"], F.array()))
+
+
+def _facet(df: DataFrame, spec: dict[str, list[dict[str, Any]]], resolve: Any) -> DataFrame:
+    """One row with an array for each pipeline; the input is staged once for all of them."""
+    source = staged(df, "facet")
+    out = None
+    for name, stages in spec.items():
+        one = aggregate(source, stages, resolve)
+        listed = one.agg(F.collect_list(F.struct(*one.columns)).alias(name))
+        out = listed if out is None else out.crossJoin(listed)  # one row each
+    return out
+
+
+def _redact(df: DataFrame, spec: Any, _: Any) -> DataFrame:
+    """$$KEEP, $$PRUNE or $$DESCEND for the row and, where it descends, for each object and array of objects in it."""
+    kept = _redacted(F.struct(*df.columns), df.schema, spec)
+    return df.select(kept.alias("__doc")).where("__doc IS NOT NULL").select("__doc.*")
+
+
+def _redacted(doc: Column, kind: T.StructType, spec: Any) -> Column:
+    scope = Scope(None, {k: F.lit(k) for k in ("KEEP", "PRUNE", "DESCEND")}, doc, kind.fieldNames())
+    verdict = compiled(spec, scope)
+    inner = []
+    for f in kind:
+        c = doc[f.name]
+        if isinstance(f.dataType, T.StructType):
+            c = F.when(c.isNotNull(), _redacted(c, f.dataType, spec))
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
+            c = F.filter(F.transform(c, _redactor(f.dataType.elementType, spec)), lambda x: x.isNotNull())
+        inner.append(c.alias(f.name))
+    return F.when(verdict == "KEEP", doc).when(verdict == "DESCEND", F.struct(*inner))
+
+
+def _redactor(kind: T.StructType, spec: Any) -> Callable[[Column], Column]:
+    return lambda x: _redacted(x, kind, spec)
+
+
+def _unwind_stage(df: DataFrame, spec: Any, _: Any) -> DataFrame:
+    spec = {"path": spec} if isinstance(spec, str) else spec
+    return unwind(df, _name(spec["path"]), spec.get("includeArrayIndex"), spec.get("preserveNullAndEmptyArrays", False))
+
+
+STAGES: dict[str, Callable[[DataFrame, Any, Any], DataFrame]] = {
+    "$match": lambda df, spec, _: df.where(matches(spec)),
+    "$project": _project,
+    "$addFields": lambda df, spec, _: df.withColumns({k: _expr(df, v) for k, v in spec.items()}),
+    "$set": lambda df, spec, _: df.withColumns({k: _expr(df, v) for k, v in spec.items()}),
+    "$unset": lambda df, spec, _: df.drop(*([spec] if isinstance(spec, str) else spec)),
+    "$group": _group,
+    "$bucket": lambda df, spec, _: bucket(df, _name(spec["groupBy"]), spec["boundaries"], spec.get("default"), **{k: ACCUMULATORS[o](_expr(df, v if o != "$count" else 1)) for k, a in spec.get("output", {}).items() for o, v in a.items()}),
+    "$sortByCount": lambda df, spec, _: sort_by_count(df, _name(spec)),
+    "$unwind": _unwind_stage,
+    "$sort": lambda df, spec, _: df.orderBy(*[F.asc(k) if d > 0 else F.desc(k) for k, d in spec.items()]),
+    "$limit": lambda df, spec, _: df.limit(spec),
+    "$skip": lambda df, spec, _: df.offset(spec),
+    "$count": lambda df, spec, _: df.agg(F.count("*").alias(spec)),
+    "$lookup": _lookup,
+    "$graphLookup": _graph_lookup,
+    "$facet": _facet,
+    "$replaceRoot": lambda df, spec, _: df.select(_expr(df, spec["newRoot"]).alias("__doc")).select("__doc.*"),
+    "$replaceWith": lambda df, spec, _: df.select(_expr(df, spec).alias("__doc")).select("__doc.*"),
+    "$redact": _redact,
+    "$unionWith": lambda df, spec, resolve: df.unionByName(aggregate(resolve(spec if isinstance(spec, str) else spec["coll"]), [] if isinstance(spec, str) else spec.get("pipeline", []), resolve), allowMissingColumns=True),
+    "$sample": lambda df, spec, _: df.orderBy(F.rand()).limit(spec["size"]),
+}
+
+
 def violations(df: DataFrame, key: str, required: tuple[str, ...] = (), unique: tuple[str, ...] = (), types: dict[str, str] | None = None, checks: dict[str, str] | None = None, references: dict[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
     """Schema rules as a table of (key, rule): what is missing, repeated, not castable, failing a check or without its referred row."""
     out = [df.where(F.col(c).isNull()).select(F.col(key).cast("string").alias("key"), F.lit(f"required:{c}").alias("rule")) for c in required]

@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.sources.stages import staged
+from tidewell.sources.stages import discard, staged
 
 
 def directed(edges: DataFrame, direction: str = "out") -> DataFrame:
@@ -70,6 +70,88 @@ def shortest_paths(edges: DataFrame, source, max_rounds: int | None = None) -> D
         best = staged(best.unionByName(frontier).groupBy("node").agg(F.min("distance").alias("distance")), "sssp")
 
 
+def shortest_route(edges: DataFrame, source, target, max_rounds: int | None = None) -> DataFrame:
+    """path (array of nodes), cost, length of a cheapest way from source to target; no row where there is none. Of equal costs the fewest hops, then the least nodes.
+
+    Each round extends the best ways that the round before improved, and leaves out those that already cost more than the best way to the target.
+    """
+    kind = edges.schema["src"].dataType.simpleString()
+    best = staged(edges.sparkSession.createDataFrame([([source], 0.0)], f"path array<{kind}>, cost double").select(F.element_at("path", -1).alias("node"), F.struct("cost", F.size("path").alias("n"), "path").alias("way")), "route")
+    frontier, rounds = best, 0
+    most = _nodes(edges).count() + 1 if max_rounds is None else max_rounds
+    while True:
+        bound = best.where(F.col("node") == F.lit(target)).agg(F.min("way.cost")).first()[0]
+        live = frontier if bound is None else frontier.where(F.col("way.cost") <= bound)
+        longer = live.join(edges, live["node"] == edges["src"]).where(~F.array_contains("way.path", F.col("dst")))
+        step = longer.groupBy(F.col("dst").alias("node")).agg(F.min(F.struct((F.col("way.cost") + F.col("weight")).alias("cost"), (F.col("way.n") + 1).alias("n"), F.array_append("way.path", F.col("dst")).alias("path"))).alias("new"))
+        fresh = staged(step.join(best, "node", "left").where("way IS NULL OR new < way").select("node", F.col("new").alias("way")), "route")
+        if fresh.isEmpty():
+            return best.where(F.col("node") == F.lit(target)).select("way.path", "way.cost", (F.col("way.n") - 1).alias("length"))
+        rounds += 1
+        if rounds > most:
+            raise RuntimeError(f"routes have not settled after {most} rounds")
+        after = staged(best.join(fresh.select("node"), "node", "left_anti").unionByName(fresh), "route")
+        discard(best, *([frontier] if frontier is not best else []))
+        best, frontier = after, fresh
+
+
+def dfs(edges: DataFrame, start, limit: int = 1000, ahead: int = 512) -> DataFrame:
+    """position, node: the first ``limit`` nodes of a depth-first walk, neighbours in their order.
+
+    Such a walk is one sequence, so the driver walks; neighbours are fetched for the next ``ahead`` nodes of the stack at a time, of each no more than
+    the walk can need.
+    """
+    kind = edges.schema["src"].dataType.simpleString()
+    links, spark = edges.select("src", "dst").where("src != dst").distinct(), edges.sparkSession
+    out, seen, known, stack = [], set(), {}, [start]
+    while stack and len(out) < limit:
+        node = stack.pop()
+        if node in seen:
+            continue
+        seen.add(node)
+        out.append(node)
+        if node not in known:
+            asked = [node, *dict.fromkeys(n for n in reversed(stack) if n not in known and n not in seen)][:ahead]
+            ranked = links.join(F.broadcast(spark.createDataFrame([(n,) for n in asked], f"src {kind}")), "src").withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("dst")))
+            got = ranked.where(F.col("r") <= 2 * limit).groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("to")).collect()
+            known |= {n: [] for n in asked} | {r["src"]: r["to"] for r in got}
+        stack += [n for n in reversed(known[node]) if n not in seen]
+    return spark.createDataFrame(list(enumerate(out)), f"position int, node {kind}")
+
+
+def cliques(edges: DataFrame, size: int) -> DataFrame:
+    """nodes (sorted array) of each clique of so many nodes: each round joins a clique with common later neighbours along the orientation by degree."""
+    e = directed(edges, "both").where("src != dst")
+    deg = e.groupBy("src").agg(F.count("*").alias("d"))
+    und = e.join(deg.withColumnRenamed("d", "ds"), "src").join(deg.select(F.col("src").alias("dst"), F.col("d").alias("dd")), "dst")
+    o = staged(und.where("ds < dd OR ds = dd AND src < dst").select(F.col("src").alias("u"), F.col("dst").alias("v")), "oriented")
+    own = o.select(F.array("u", "v").alias("nodes"))
+    for have in range(2, size):
+        grown = own.join(o, F.get("nodes", F.lit(0)) == F.col("u")).where(~F.array_contains("nodes", F.col("v")))
+        for k in range(1, have):
+            grown = grown.join(o.select(F.col("u").alias("_u"), F.col("v").alias("_v")), (F.get("nodes", F.lit(k)) == F.col("_u")) & (F.col("v") == F.col("_v")), "left_semi")
+        own = staged(grown.select(F.array_append("nodes", F.col("v")).alias("nodes")), "cliques")
+    return own.select(F.array_sort("nodes").alias("nodes"))
+
+
+def as_of(edges: DataFrame, at, since: str = "valid_from", until: str = "valid_to") -> DataFrame:
+    """Edges that are valid at a time: from ``since`` on, up to but not including ``until``; a null end is open."""
+    return edges.where((F.col(since) <= F.lit(at)) & (F.col(until).isNull() | (F.col(until) > F.lit(at))))
+
+
+def temporal_paths(edges: DataFrame, starts: DataFrame, most: int, time: str = "valid_from") -> DataFrame:
+    """node, arrival: the earliest time at which each node can be reached along edges of rising time, within so many hops."""
+    best = staged(starts.select("node", F.lit(None).cast(edges.schema[time].dataType).alias("arrival")).distinct(), "temporal")
+    frontier = best
+    for _ in range(most):
+        step = frontier.join(edges, frontier["node"] == edges["src"]).where(F.col("arrival").isNull() | (F.col(time) >= F.col("arrival"))).groupBy(F.col("dst").alias("node")).agg(F.min(time).alias("_t"))
+        frontier = staged(step.join(best, "node", "left").join(starts.select("node"), "node", "left_anti").where("arrival IS NULL OR _t < arrival").select("node", F.col("_t").alias("arrival")), "temporal")
+        if frontier.isEmpty():
+            break
+        best = staged(best.unionByName(frontier).groupBy("node").agg(F.min("arrival").alias("arrival")), "temporal")
+    return best
+
+
 def _nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
 
@@ -85,12 +167,14 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 20, stag
     nodes = staged(e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct(), "nodes")
     n = nodes.count()
     links = staged(e.join(e.groupBy("src").agg(F.count("*").alias("out")), "src"), "links")
-    ranks = nodes.withColumn("rank", F.lit(1.0 / max(1, n)))
+    ranks, done = nodes.withColumn("rank", F.lit(1.0 / max(1, n))), None
     for i in range(iterations):
         given = links.join(ranks, links["src"] == ranks["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        ranks = nodes.join(given, "node", "left").select("node", (F.lit((1 - damping) / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        ranks = nodes.join(given, "node", "left").select("node", (F.lit((1 - damping) / max(1, n)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
         if i % stage_every == stage_every - 1 or i == iterations - 1:
-            ranks = staged(ranks, "ranks")
+            after = staged(ranks, "ranks")
+            discard(done)
+            ranks = done = after
     return ranks
 
 
@@ -101,7 +185,9 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     for _ in range(rounds):
         votes = e.join(labels, e["dst"] == labels["node"]).groupBy("src", "label").agg(F.count("*").alias("n"))
         new = votes.groupBy("src").agg(F.max_by("label", F.struct(F.col("n"), -F.col("label"))).alias("label")).select(F.col("src").alias("node"), "label")
-        labels = staged(new, "labels")
+        after = staged(new, "labels")
+        discard(labels)
+        labels = after
     return labels
 
 
@@ -137,12 +223,45 @@ def closeness(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     return graph_lookup(edges, _nodes(edges), max_depth).where("node != start").groupBy(F.col("start").alias("node")).agg((F.count("*") / F.sum("depth")).alias("closeness"))
 
 
-def knn_mesh(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_where: str = "true") -> DataFrame:
-    """src, dst, weight = 1 / (1 + |score|): each query row linked to its k nearest by L2. The queries are a stated subset joined with all rows."""
-    from tidewell.functions.vectors import l2_squared
+def knn_mesh(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_where: str = "true", block: int = 1024, both_ways: bool = False) -> DataFrame:
+    """src, dst, weight = 1 / (1 + |score|): each query row linked to its k nearest by L2; with both_ways each link also backward.
 
-    q = vectors.where(query_where).select(F.col(key).alias("src"), F.col(vector).alias("_q"))
-    all_ = vectors.select(F.col(key).alias("dst"), F.col(vector).alias("_v"))
-    scored = q.join(all_, F.col("src") != F.col("dst")).select("src", "dst", l2_squared(F.col("_q"), F.col("_v")).alias("_d"))
-    near = scored.withColumn("_r", F.row_number().over(Window.partitionBy("src").orderBy("_d", "dst"))).where(F.col("_r") <= k)
-    return near.select("src", "dst", (1 / (1 + F.abs("_d"))).alias("weight"))
+    The stated queries meet all rows in blocks: a block of queries is sent to every task in its turn, which keeps the k nearest of its own rows
+    by one matrix product a batch, so only k rows a query and task are ever emitted. Rows without a vector have no links.
+    """
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    have = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+    asked = staged(vectors.where(query_where).where(F.col(vector).isNotNull()).select(F.col(key).alias("src"), F.col(vector).cast("array<double>").alias("vector")), "mesh-queries")
+    kind = have.schema["key"].dataType.simpleString()
+    count, found = asked.count(), None
+    blocks = max(1, -(-count // block))
+    for b in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("src"), F.lit(blocks)) == b).toArrow()  # about ``block`` rows
+        ids, x = part["src"].to_numpy(), np.array(part["vector"].to_pylist(), float).reshape(part.num_rows, -1)
+        shared = vectors.sparkSession.sparkContext.broadcast((ids, x))
+
+        def nearest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, x = shared.value
+            keys, far = np.empty((len(ids), 0), object), np.empty((len(ids), 0))
+            for rows in batches:
+                if not rows.num_rows or not len(ids):
+                    continue
+                own, y = rows.column(0).to_numpy(zero_copy_only=False), np.array(rows.column(1).to_pylist(), float)
+                d = ((x[:, None] - y[None]) ** 2).sum(2) if len(x) * y.size < 1 << 22 else (x**2).sum(1)[:, None] - 2 * x @ y.T + (y**2).sum(1)[None]
+                d = np.where(ids[:, None] == own[None], np.inf, np.maximum(d, 0))
+                keys, far = np.concatenate([keys, np.broadcast_to(own.astype(object), d.shape)], axis=1), np.concatenate([far, d], axis=1)
+                at = np.argsort(far, axis=1, kind="stable")[:, : k + 8]
+                keys, far = np.take_along_axis(keys, at, 1), np.take_along_axis(far, at, 1)
+            fits = np.isfinite(far)
+            if fits.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, fits.sum(1))), pa.array(keys[fits].tolist()), pa.array(far[fits])], names=["src", "dst", "d"])
+
+        own = have.mapInArrow(nearest, f"src {kind}, dst {kind}, d double")
+        found = own if found is None else found.unionByName(own)
+    near = found.withColumn("_r", F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))).where(F.col("_r") <= k)
+    out = near.select("src", "dst", (1 / (1 + F.abs("d"))).alias("weight"))
+    return out.unionByName(out.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.max("weight").alias("weight")) if both_ways else out

@@ -15,6 +15,7 @@ from tidewell.engine import Engine
 from tidewell.functions import geo, text, vectors
 from tidewell.operators import ann, communities, components, filters, graph, joins
 from tidewell.sources import catalog
+from tidewell.sources.stages import staged
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,10 +61,11 @@ both("join_inner", "SELECT n.n_name, r.r_name FROM nation n JOIN region r ON n.n
 both("join_left", "SELECT c.c_custkey, count(o.o_orderkey) AS n_orders FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY c.c_custkey")
 both("join_full", "SELECT coalesce(c.c_nationkey, s.s_nationkey) AS nation, c.n AS customers, s.n AS suppliers FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) c FULL JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) s ON c.c_nationkey = s.s_nationkey")
 both("join_right", "SELECT s.s_suppkey, n.n_name FROM supplier s RIGHT JOIN nation n ON s.s_nationkey = n.n_nationkey")
-both("join_cross", "SELECT r.r_name, n.n_name FROM region r CROSS JOIN (SELECT n_name FROM nation WHERE n_nationkey < 3) n")
+both("join_cross", "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n")
 both("join_using_natural", "SELECT doc_id, quality, lang FROM documents NATURAL JOIN labels")
+both("join_using", "SELECT doc_id, toxic, source FROM documents JOIN labels USING (doc_id) WHERE quality = 1")
 both("join_semi", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)")
-both("join_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+both("join_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 both("join_multi", """SELECT n.n_name, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey
     JOIN supplier s ON l.l_suppkey = s.s_suppkey AND c.c_nationkey = s.s_nationkey JOIN nation n ON s.s_nationkey = n.n_nationkey GROUP BY n.n_name""")
 both("join_self", "SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
@@ -80,17 +82,17 @@ def join_asof(e: Engine) -> DataFrame:
     return out.select("event_id", "user_id", "prev_purchase", "prev_value")
 
 
-@query("""SELECT p.o_orderkey, s.lo FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS price FROM orders) p JOIN (SELECT CAST(p_partkey AS BIGINT) * 1000 AS lo, CAST(p_partkey AS BIGINT) * 1000 + 1500 AS hi FROM part WHERE p_partkey <= 100) s ON p.price >= s.lo AND p.price < s.hi""")
+@query("""SELECT p.o_orderkey, s.lo FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS price FROM orders) p JOIN (SELECT CAST(p_partkey AS BIGINT) * 1000 AS lo, CAST(p_partkey AS BIGINT) * 1000 + 1500 AS hi FROM part) s ON p.price >= s.lo AND p.price < s.hi""")
 def join_range_overlap(e: Engine) -> DataFrame:
     p = e.sql("SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS price FROM orders")
-    s = e.sql("SELECT p_partkey * 1000 AS lo, p_partkey * 1000 + 1500 AS hi FROM part WHERE p_partkey <= 100")
+    s = e.sql("SELECT p_partkey * 1000 AS lo, p_partkey * 1000 + 1500 AS hi FROM part")
     return joins.interval_join(p, s, "price", "lo", "hi", 1000).select("o_orderkey", "lo")
 
 
-@query("SELECT r_regionkey, r_name, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS n_nations FROM region")
+@query("SELECT r_regionkey, r_name, (SELECT string_agg(n_name, ',' ORDER BY n_name) FROM nation WHERE n_regionkey = r_regionkey) AS nations FROM region")
 def lookup_collected(e: Engine) -> DataFrame:
-    found = filters.lookup(e.catalog.resolve("region"), e.catalog.resolve("nation"), "r_regionkey", "n_regionkey", "nations")
-    return found.select("r_regionkey", "r_name", F.size("nations").cast("long").alias("n_nations"))
+    found = e.aggregate("region", [{"$lookup": {"from": "nation", "localField": "r_regionkey", "foreignField": "n_regionkey", "as": "nations"}}])
+    return found.select("r_regionkey", "r_name", F.array_join(F.array_sort(F.transform("nations", lambda n: n["n_name"])), ",").alias("nations"))
 
 
 # aggregates
@@ -124,15 +126,20 @@ def stage_match_group(e: Engine) -> DataFrame:
     return out.withColumn("total", F.round("total", 2))
 
 
-@query("SELECT (SELECT count(*) FROM events) AS all_rows, (SELECT count(DISTINCT user_id) FROM events) AS users, (SELECT max(value) FROM events) AS top_value")
+@query("""SELECT (SELECT count(*) FROM events) AS n, (SELECT string_agg(event_type || ':' || k, ',' ORDER BY event_type) FROM (SELECT event_type, count(*) AS k FROM events GROUP BY event_type)) AS by_type,
+    (SELECT string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY value DESC, event_id) FROM (SELECT * FROM events ORDER BY value DESC, event_id LIMIT 3)) AS top""")
 def stage_facet(e: Engine) -> DataFrame:
-    return e.catalog.resolve("events").agg(F.count("*").alias("all_rows"), F.count_distinct("user_id").alias("users"), F.max("value").alias("top_value"))
+    facets = {"all": [{"$count": "n"}], "types": [{"$group": {"_id": "$event_type", "k": {"$sum": 1}}}], "top": [{"$sort": {"value": -1, "event_id": 1}}, {"$limit": 3}, {"$project": {"event_id": 1, "value": 1}}]}
+    out = e.aggregate("events", [{"$facet": facets}])
+    listed = F.transform(F.array_sort(F.transform("types", lambda t: F.struct(t["_id"], t["k"]))), lambda t: F.concat_ws(":", t["_id"], t["k"].cast("string")))
+    best = F.array_sort(F.transform("top", lambda t: F.struct((-t["value"]).alias("v"), t["event_id"].alias("i"))))
+    return out.select(F.col("all")[0]["n"].alias("n"), F.array_join(listed, ",").alias("by_type"), F.array_join(F.transform(best, lambda t: t["i"].cast("string")), ",").alias("top"))
 
 
-@query("SELECT doc_id, i - 1 AS pos, w AS word FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents WHERE doc_id < 50), LATERAL (SELECT unnest(ws) AS w, generate_subscripts(ws, 1) AS i)")
+@query("SELECT w AS word, count(*) AS n, max(i - 1) AS last_pos FROM (SELECT unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT string_split(text, ' ') AS ws FROM documents)) GROUP BY w")
 def stage_unwind(e: Engine) -> DataFrame:
-    df = e.catalog.resolve("documents").where("doc_id < 50").select("doc_id", F.split("text", " ").alias("word"))
-    return filters.unwind(df, "word", index="pos").select("doc_id", F.col("pos").cast("long").alias("pos"), "word")
+    out = e.aggregate("documents", [{"$project": {"word": {"$split": ["$text", " "]}}}, {"$unwind": {"path": "$word", "includeArrayIndex": "pos"}}, {"$group": {"_id": {"word": "$word"}, "n": {"$sum": 1}, "last_pos": {"$max": "$pos"}}}])
+    return out.withColumn("last_pos", F.col("last_pos").cast("long"))
 
 
 # windows
@@ -166,12 +173,13 @@ both("order_limit_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY
 both("set_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 both("set_union_all", "SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region")
 both("set_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
-both("set_except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier")
+both("set_except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 7000")
 both("set_except_all", "SELECT n_regionkey AS k FROM nation EXCEPT ALL SELECT r_regionkey FROM region")
 both("subquery_scalar", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)")
 both("subquery_correlated", "SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey) * 1.2")
 both("subquery_row_in", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_partkey, l_suppkey) IN (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_quantity = 50)")
-both("subquery_all_rewrite", "SELECT p_partkey FROM part WHERE p_retailprice >= (SELECT max(p_retailprice) FROM part WHERE p_size < 5)", "SELECT p_partkey FROM part WHERE p_retailprice >= ALL (SELECT p_retailprice FROM part WHERE p_size < 5)")
+both("subquery_all", "SELECT p_partkey FROM part WHERE p_retailprice >= ALL (SELECT p_retailprice FROM part WHERE p_size < 5)")
+both("subquery_any", "SELECT p_partkey FROM part WHERE p_retailprice < ANY (SELECT p_retailprice FROM part WHERE p_size > 45)")
 both("cte_chain", "WITH a AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY 1), b AS (SELECT avg(t) AS m FROM a) SELECT o_custkey FROM a, b WHERE t > 2 * m")
 both("cte_recursive", "WITH RECURSIVE r(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM r WHERE n < 12) SELECT n, f FROM r")
 both("derived_table", "SELECT k, n FROM (SELECT l_suppkey AS k, count(*) AS n FROM lineitem GROUP BY l_suppkey) t WHERE n > 50")
@@ -237,18 +245,20 @@ pipeline_query("pql_filter_compute", "QUERY orders WHERE o_totalprice > 1000 AND
 pipeline_query("pql_group", "QUERY orders GROUP BY o_orderstatus COMPUTE n = COUNT(*), top = MAX(o_totalprice) HAVING n > 5 -- groups\n ORDERBY n DESC", "SELECT o_orderstatus, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY 1 HAVING count(*) > 5")
 pipeline_query("pql_join", "QUERY nation AS n LEFT JOIN region AS r ON n.n_regionkey = r.r_regionkey SELECT n_name, r_name", "SELECT n_name, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
 pipeline_query("pql_order_limit", "QUERY customer WHERE c_acctbal BETWEEN 100 AND 5000 ORDER BY c_acctbal DESC, c_custkey LIMIT 7 OFFSET 2 SELECT c_custkey, c_acctbal", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal BETWEEN 100 AND 5000 ORDER BY c_acctbal DESC, c_custkey LIMIT 7 OFFSET 2")
-pipeline_query("pql_arithmetic", "QUERY part COMPUTE a = -p_size ^ 2, b = p_size / 4, c = p_size % 0 SELECT p_partkey, a, b, c", "SELECT p_partkey, pow(-p_size, 2) AS a, CAST(p_size // 4 AS DOUBLE) AS b, CAST(NULL AS INT) AS c FROM part")
+pipeline_query("pql_arithmetic", "QUERY part COMPUTE a = -p_size ^ 2, b = p_size / 4, c = p_size % 0 SELECT p_partkey, a, b, c", "SELECT p_partkey, pow(-p_size, 2) AS a, CAST(p_size // 4 AS BIGINT) AS b, CAST(NULL AS INT) AS c FROM part")
 pipeline_query("pql_parameter", "QUERY customer WHERE c_mktsegment = @seg AND c_nationkey IN (1, 2, 3) SELECT c_custkey", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey IN (1, 2, 3)", seg="BUILDING")
 
 
-@query()
+_Q = "(SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 1)"
+
+
+@query(f"SELECT vec_id FROM embeddings, {_Q} WHERE label >= 0 ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) DESC, vec_id LIMIT 5")
 def pql_similar(e: Engine) -> DataFrame:
     v = e.catalog.resolve("embeddings").where("vec_id = 1").first()["embedding"]
     return e.pql("QUERY embeddings WHERE label >= 0 SIMILAR TO @q IN embedding TOP 5 METRIC cosine SELECT vec_id", q=v)
 
 
 # vectors and text
-_Q = "(SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 1)"
 
 
 @query(f"SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 4) AS score FROM embeddings, {_Q} ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) DESC, vec_id LIMIT 10")
@@ -285,26 +295,32 @@ def text_phrase(e: Engine) -> DataFrame:
     return e.catalog.resolve("documents").where(text.phrase(F.col("text"), ["of", "the"])).select("doc_id")
 
 
-@query()
+@query(f"""WITH d AS (SELECT doc_id, len(ws) AS n, len([t for t in ws if t = 'license']) AS f FROM (SELECT doc_id, {_TERMS} AS ws FROM documents)), s AS (SELECT count(*) AS nn, avg(n) AS av, count(*) FILTER (WHERE f > 0) AS df FROM d),
+    k AS (SELECT doc_id, row_number() OVER (ORDER BY round(ln((nn - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / av)), 9) DESC, doc_id) AS r FROM d, s WHERE f > 0),
+    v AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 9) DESC, vec_id) AS r FROM embeddings, {_Q})
+    SELECT doc_id, round(sum(1.0 / (60 + r)), 9) AS score FROM (SELECT * FROM k WHERE r <= 1000 UNION ALL SELECT * FROM v WHERE r <= 1000) GROUP BY doc_id ORDER BY 2 DESC, 1 LIMIT 20""")
 def text_hybrid_rrf(e: Engine) -> DataFrame:
-    docs = e.catalog.resolve("documents")
-    a = text.bm25(docs, ["license"]).withColumnRenamed("bm25", "score")
-    b = docs.select("doc_id", F.col("n_chars").cast("double").alias("score"))
-    return text.reciprocal_rank_fusion([a, b], "doc_id").orderBy(F.desc("score"), "doc_id").limit(20)
+    """Keyword ranks of documents fused with vector ranks of the embeddings of the same ids."""
+    q = e.catalog.resolve("embeddings").where("vec_id = 1").first()["embedding"]
+    words = text.bm25(e.catalog.resolve("documents"), ["license"]).select("doc_id", F.round("bm25", 9).alias("score"))
+    near = e.catalog.resolve("embeddings").select(F.col("vec_id").alias("doc_id"), F.round(vectors.cosine(F.col("embedding"), vectors.literal(list(q))), 9).alias("score"))
+    return text.reciprocal_rank_fusion([words, near], "doc_id").select("doc_id", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
-# graphs: customers and orders
-_EDGES = "SELECT DISTINCT o_custkey % 997 AS src, o_orderkey % 997 AS dst FROM orders"
+# graphs: parts that follow one another in an order
+_EDGES = "SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst"
+#: What customers, suppliers, nations and regions belong to, both ways; kinds have ranges of ids of their own.
+_BELONGS = "SELECT c_custkey * 4 AS src, CAST(c_nationkey AS BIGINT) * 4 + 2 AS dst FROM customer UNION SELECT s_suppkey * 4 + 1, CAST(s_nationkey AS BIGINT) * 4 + 2 FROM supplier UNION SELECT CAST(n_nationkey AS BIGINT) * 4 + 2, CAST(n_regionkey AS BIGINT) * 4 + 3 FROM nation"
 
 
 def edges(e: Engine) -> DataFrame:
-    """A graph of 997 nodes made of all orders; the folding of keys is the graph's definition."""
-    return e.sql(_EDGES).withColumn("weight", (F.abs(F.col("src") - F.col("dst")) + 1).cast("double"))
+    """A graph whose nodes are all parts that were ordered beside others and whose weights are how often."""
+    return staged(e.sql(_EDGES), "part-edges")
 
 
-@query(f"WITH RECURSIVE e AS ({_EDGES}), b(node, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON b.node = e.src WHERE b.depth < 3) SELECT node, min(depth) AS depth FROM b GROUP BY node")
+@query(f"WITH RECURSIVE e AS ({_EDGES}), b(node, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON b.node = e.src WHERE b.depth < 10) SELECT node, min(depth) AS depth FROM b GROUP BY node")
 def graph_bfs(e: Engine) -> DataFrame:
-    return graph.bfs(edges(e), e.spark.createDataFrame([(1,)], "node long"), 3)
+    return graph.bfs(edges(e), e.spark.createDataFrame([(1,)], "node long"))
 
 
 @query(f"WITH e AS ({_EDGES}) SELECT n AS node, sum(o) AS out_degree, sum(i) AS in_degree, sum(o + i) AS degree FROM (SELECT src AS n, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY n")
@@ -317,16 +333,16 @@ def graph_triangles(e: Engine) -> DataFrame:
     return graph.triangles(edges(e))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT src, dst, CAST(abs(src - dst) + 1 AS DOUBLE) AS w FROM ({_EDGES})), d(node, dist, hop) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS DOUBLE), 0 UNION SELECT e.dst, min(d.dist + e.w), d.hop + 1 FROM d JOIN e ON d.node = e.src WHERE d.hop < 60 GROUP BY e.dst, d.hop) SELECT node, min(dist) AS distance FROM d GROUP BY node""")
+@query(f"""WITH RECURSIVE e AS (SELECT src, dst, weight AS w FROM ({_EDGES})), d(node, dist, hop) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS DOUBLE), 0 UNION SELECT e.dst, min(d.dist + e.w), d.hop + 1 FROM d JOIN e ON d.node = e.src WHERE d.hop < 60 GROUP BY e.dst, d.hop) SELECT node, min(dist) AS distance FROM d GROUP BY node""")
 def graph_shortest(e: Engine) -> DataFrame:
     return graph.shortest_paths(edges(e), 1)
 
 
 @query(f"WITH e AS ({_EDGES}), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), o AS (SELECT src, count(*) AS k FROM e GROUP BY src), c AS (SELECT count(*) AS n FROM n), r0 AS (SELECT node, 1.0 / n AS r FROM n, c), "
-       + ", ".join(f"r{i} AS (SELECT n.node, 0.15 / c.n + 0.85 * coalesce(g.s, 0) AS r FROM n CROSS JOIN c LEFT JOIN (SELECT e.dst, sum(r{i - 1}.r / o.k) AS s FROM e JOIN o ON e.src = o.src JOIN r{i - 1} ON r{i - 1}.node = e.src GROUP BY e.dst) g ON g.dst = n.node)" for i in range(1, 6))
-       + " SELECT node, round(r, 6) AS rank FROM r5")
+       + ", ".join(f"r{i} AS (SELECT n.node, 0.15 / c.n + 0.85 * coalesce(g.s, 0) AS r FROM n CROSS JOIN c LEFT JOIN (SELECT e.dst, sum(r{i - 1}.r / o.k) AS s FROM e JOIN o ON e.src = o.src JOIN r{i - 1} ON r{i - 1}.node = e.src GROUP BY e.dst) g ON g.dst = n.node)" for i in range(1, 21))
+       + " SELECT node, round(r, 8) AS rank FROM r20")
 def graph_pagerank(e: Engine) -> DataFrame:
-    return graph.pagerank(edges(e), iterations=5).select("node", F.round("rank", 6).alias("rank"))
+    return graph.pagerank(edges(e)).select("node", F.round("rank", 8).alias("rank"))
 
 
 @query("SELECT c_custkey AS node, min(c_custkey) OVER (PARTITION BY c_nationkey) AS component FROM customer")
@@ -338,9 +354,11 @@ def graph_components(e: Engine) -> DataFrame:
     return components.components(linked.select("src", "dst").unionByName(firsts)).unionByName(alone)
 
 
-@query()
+@query(f"WITH e AS (SELECT src, dst FROM ({_EDGES}) UNION SELECT dst, src FROM ({_EDGES})), l0 AS (SELECT DISTINCT src AS node, src AS label FROM e), "
+       + ", ".join(f"l{i} AS (SELECT src AS node, label FROM (SELECT e.src, l.label, row_number() OVER (PARTITION BY e.src ORDER BY count(*) DESC, l.label) AS r FROM e JOIN l{i - 1} l ON e.dst = l.node GROUP BY e.src, l.label) WHERE r = 1)" for i in range(1, 11))
+       + " SELECT node, label FROM l10")
 def graph_label_propagation(e: Engine) -> DataFrame:
-    return graph.label_propagation(edges(e), 3)
+    return graph.label_propagation(edges(e))
 
 
 @query(f"WITH RECURSIVE e AS ({_EDGES}), p(path, node, length) AS (SELECT [CAST(1 AS BIGINT)], CAST(1 AS BIGINT), 0 UNION ALL SELECT list_append(p.path, e.dst), e.dst, p.length + 1 FROM p JOIN e ON p.node = e.src WHERE p.length < 2 AND NOT list_contains(p.path, e.dst)) SELECT array_to_string(path, '>') AS path, length FROM p WHERE length BETWEEN 1 AND 2")
@@ -349,9 +367,18 @@ def graph_paths(e: Engine) -> DataFrame:
     return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "length")
 
 
-@query("SELECT user_id, count(*) AS n, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS clicks FROM events GROUP BY user_id")
-def cross_model_events(e: Engine) -> DataFrame:
-    return e.catalog.resolve("events").groupBy("user_id").agg(F.count("*").alias("n"), F.sum((F.col("event_type") == "click").cast("int")).alias("clicks"))
+@query(f"""SELECT d.doc_id, d.lang, l.quality, g.degree, round(v.score, 4) AS score, k.k FROM documents d JOIN labels l ON l.doc_id = d.doc_id
+    JOIN (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS score FROM embeddings, {_Q} ORDER BY 2 DESC, 1 LIMIT 200) v ON v.vec_id = d.doc_id
+    JOIN (SELECT n, count(*) AS degree FROM (SELECT src AS n FROM ({_EDGES}) UNION ALL SELECT dst FROM ({_EDGES})) GROUP BY n) g ON g.n = d.doc_id
+    LEFT JOIN (SELECT user_id, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS k FROM events GROUP BY user_id) k ON k.user_id = d.doc_id""")
+def cross_model_join(e: Engine) -> DataFrame:
+    """Rows, vector hits, graph degrees and JSON documents joined by id."""
+    q = e.catalog.resolve("embeddings").where("vec_id = 1").first()["embedding"]
+    hits = vectors.top_k(e.catalog.resolve("embeddings"), list(q), 200).select(F.col("vec_id").alias("doc_id"), F.round("_vector_score", 4).alias("score"))
+    degree = graph.degrees(edges(e)).select(F.col("node").alias("doc_id"), "degree")
+    top = e.catalog.resolve("events").groupBy(F.col("user_id").alias("doc_id")).agg(F.max(F.get_json_object("props", "$.k").cast("long")).alias("k"))
+    rows = e.catalog.resolve("documents").join(e.catalog.resolve("labels"), "doc_id").join(hits, "doc_id").join(degree, "doc_id").join(top, "doc_id", "left")
+    return rows.select("doc_id", "lang", "quality", "degree", "score", "k")
 
 
 @query()
@@ -361,7 +388,9 @@ def graph_strong_components(e: Engine) -> DataFrame:
 
 @query()
 def graph_betweenness(e: Engine) -> DataFrame:
-    return communities.betweenness(edges(e)).select("node", F.round("betweenness", 4).alias("betweenness"))
+    """Of all customers, suppliers, nations and regions: the measure keeps a row for each pair of nodes."""
+    both_ways = e.sql(f"SELECT src, dst FROM ({_BELONGS}) UNION SELECT dst, src FROM ({_BELONGS})")
+    return communities.betweenness(both_ways).select("node", F.round("betweenness", 4).alias("betweenness"))
 
 
 @query()
@@ -369,8 +398,8 @@ def graph_louvain(e: Engine) -> DataFrame:
     return communities.louvain(edges(e))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT src, dst, CAST(abs(src - dst) + 1 AS DOUBLE) AS w FROM ({_EDGES})), p(path, node, cost, length) AS (SELECT [CAST(1 AS BIGINT)], CAST(1 AS BIGINT), CAST(0 AS DOUBLE), 0 UNION ALL
-    SELECT list_append(p.path, e.dst), e.dst, p.cost + e.w, p.length + 1 FROM p JOIN e ON p.node = e.src WHERE p.length < 3 AND NOT list_contains(p.path, e.dst)) SELECT array_to_string(path, '>') AS path, cost FROM p WHERE node = 9 ORDER BY cost, length, path LIMIT 5""")
+@query(f"""WITH RECURSIVE e AS (SELECT src, dst, weight AS w FROM ({_EDGES})), p(path, node, cost, length) AS (SELECT [CAST(1 AS BIGINT)], CAST(1 AS BIGINT), CAST(0 AS DOUBLE), 0 UNION ALL
+    SELECT list_append(p.path, e.dst), e.dst, p.cost + e.w, p.length + 1 FROM p JOIN e ON p.node = e.src WHERE p.length < 3 AND NOT list_contains(p.path, e.dst)) SELECT array_to_string(path, '>') AS path, cost FROM p WHERE node = 9 ORDER BY cost, length, p.path LIMIT 5""")
 def graph_k_cheapest(e: Engine) -> DataFrame:
     found = communities.cheapest_paths(edges(e), 1, 9, 5, 3)
     return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "cost")
@@ -394,3 +423,6 @@ def geo_predicates(e: Engine) -> DataFrame:
     lon, lat = F.col("lon").cast("double"), F.col("lat").cast("double")
     ring = [(45.05, 0.0), (0.0, 45.05), (-45.05, 0.0), (0.0, -45.05)]
     return e.sql(_PLACES).select("c_custkey", F.round(geo.distance(lon, lat, F.lit(11.0), F.lit(48.0)) / 1000, 1).alias("km"), geo.within_box(lon, lat, (-20.0, 30.0), (40.0, 70.0)).alias("in_box"), geo.within_polygon(lon, lat, ring).alias("in_diamond"))
+
+
+from tidewell.plans import catalogue_more  # noqa: E402, F401  registers queries with the helpers above
