@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import keeps_cache, slices
 
 #: Fixed value: the pattern by which byte-level BPE cuts text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -237,9 +237,10 @@ _loaded: dict[str, TrieEncoder] = {}
 
 
 def encoder(path: str) -> TrieEncoder:
-    """One encoder a worker process and file; its word cache serves every task that follows."""
+    """One encoder a worker process and file; its word cache serves every task that follows, until the worker turns to another operator."""
     if path not in _loaded:
         _loaded[path] = TrieEncoder(path)
+    keeps_cache(_loaded.clear)
     return _loaded[path]
 
 
@@ -254,8 +255,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, sha = encoder(path), hashlib.sha256
-        gc.disable()  # tries are many small dicts without cycles; looking for cycles costs more than the walk
-        for part in slices(batches, 1024):
+        gc.disable()  # tries are many small dicts without cycles; looking for cycles costs more than the walk. The worker's next operator turns it on
+        for part in slices(batches, 1024, own_cache=True):
             ids = bpe.encode_decimal([x or "" for x in part.column(1).to_pylist()])
             arrays = [np.fromstring(x, np.int32, sep=",") for x in ids]
             back = [bpe.decode(x) for x in arrays]
@@ -275,7 +276,7 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        for part in slices(batches):
+        for part in slices(batches, own_cache=True):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([bpe.decode(x or ()) for x in part.column(1).to_pylist()], pa.string())], names=[id_col, "text"])
 
     return rows.mapInArrow(run, f"{id_col} {rows.schema['id'].dataType.simpleString()}, text string")

@@ -11,7 +11,8 @@ Conventions every operator of this subpackage keeps:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,23 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+#: What a worker process does to give back the memory of caches that only one operator reads.
+_releases: list[Callable[[], None]] = []
+
+
+def keeps_cache(release: Callable[[], None]) -> None:
+    """Workers serve one operator after another; ``release`` runs when this one turns to another operator's rows."""
+    if release not in _releases:
+        _releases.append(release)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, own_cache: bool = False) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of bounded count. own_cache: the caller is the operator whose caches the worker keeps."""
+    if _releases and not own_cache:
+        while _releases:
+            _releases.pop()()
+        gc.enable()
+        gc.collect()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
