@@ -313,10 +313,97 @@ def test_lm_base_and_model(spark, odd, none):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(own), sum(count[w] > 0 for w in own), n)
         assert math.isclose(r["base_score"], sum(math.log10((count[w] + 1) / (n + v + 1)) for w in own), rel_tol=1e-9)
         assert r["score"] < 0
-    assert sum(got[i]["score"] for i in range(3, 60)) > 1.3 * sum(got[i]["base_score"] for i in range(3, 60))
+        assert got[i]["n_bytes"] == len((texts[i] or "").encode())
     assert lm.score(odd, F.col("doc_id") > 2).count() == odd.count() and lm.score(none, F.lit(True)).count() == 0
 
 
+def segments_of(rng):
+    segs = [[rng.randrange(6) for _ in range(rng.randint(1, 40))] for _ in range(30)]
+    return segs, np.array([x for s in segs for x in s]), np.concatenate([[0], np.cumsum([len(s) for s in segs])])
+
+
+def test_lm_past_by_brute_force():
+    segs, ids, starts = segments_of(random.Random(1))
+    prior, times, place, guess, two, holds = lm.past(ids, starts)
+    first, second, *_ = lm.TextModel.contexts(ids, ids.astype(np.uint32), starts)
+    run_of, variety_of = dict(zip(first[0].tolist(), (first[1][0] // 2).tolist(), strict=True)), dict(zip(second[0].tolist(), (second[1][2] // 2).tolist(), strict=True))
+    i = 0
+    for s in segs:
+        b = i
+        for k, x in enumerate(s):
+            last = lambda y, upto: max((j for j in range(upto) if s[j] == y), default=None)  # noqa: B023, E731
+            g = last(s[k - 1], k - 1) if k else None
+            g = None if g is None else g + 1
+            assert prior[i] == (-1 if last(x, k) is None else b + last(x, k)) and times[i] == s[:k].count(x) and place[i] == k
+            assert guess[i] == (-1 if g is None else b + g) and holds[i] == (g is not None and s[g] == x)
+            assert two[i] == (g is not None and g >= 2 and s[g - 2] == s[k - 2])
+            run = 0
+            while run < k and holds[i - 1 - run] and i - 1 - run > b:
+                run += 1
+            assert run_of.get(i, min(run, 15)) == min(run, 15) and variety_of.get(i, len(set(s[:k])) * 15 // max(k, 1)) == len(set(s[:k])) * 15 // max(k, 1)
+            i += 1
+
+
+def test_lm_text_model_is_a_distribution():
+    """What may come next has probabilities of one in all, each given by the decisions and, where a token is new, by itself."""
+    rng, static = random.Random(2), np.full(12, 1 / 12)
+    model = lm.TextModel()
+    _, ids, starts = segments_of(rng)
+    model.learn(ids, ids.astype(np.uint32), starts, np.zeros((2, lm.TEXT_GATES)), np.zeros((2, 2, lm.BUCKETS)))
+    for n in (0, 1, 2, 7, 30):
+        before, total = [rng.randrange(5) for _ in range(n)], 0.0
+        for x in range(12):
+            own = np.array([*before, x])
+            cost, new = model.log10_of(own, own.astype(np.uint32), np.array([0, len(own)]), static[own])
+            total += 10 ** cost[-1] * (static[x] if n in new else 1)
+        assert 0.75 < total < 1 + 1e-6 and (n > 0 or math.isclose(total, 1))
+
+
+def test_lm_spelling_shares_prefixes():
+    rng, draw = random.Random(3), np.random.default_rng(1)
+    words = sorted({bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 8))) for _ in range(200)} | {b"x" * 100, b"y" * 9000})
+    m = lm.Spelling(draw.random((5, 1 << 16, 2)).astype(np.float32) * 3, draw.random((lm.GATES, 5)).astype(np.float32), draw.random(lm.BUCKETS))
+    together, alone = m.log10_of(words), [m.log10_of([w])[0] for w in words]
+    assert np.allclose(together, alone)
+    for w, want in zip(words[:20], together, strict=False):  # decision by decision
+        got, text = 0.0, w + b" "
+        for k in range(len(text)):
+            slots, bit = lm.decisions(np.frombuffer(text, np.uint8), np.array([k]), np.array([k]), m.bits)
+            for d in range(8):
+                counts = [m.counts[i][slots[i][d]] for i in range(5)]
+                logit = np.clip([math.log((c[1] + 0.02) / (c[0] + 0.02)) for c in counts], -12, 12)
+                short, long = (min(int(math.log2(1 + c.sum())), 5) for c in counts[-2:])
+                z = float(np.clip(m.weights[long * 4 + min(short // 2, 3)] @ logit, -16, 16))
+                p = (1 / (1 + math.exp(-z)) + float(np.interp(z, np.linspace(-16, 16, lm.BUCKETS), m.refine))) / 2
+                got += math.log10(min(max(p if bit[d] else 1 - p, 1e-7), 1))
+        assert math.isclose(got, want, rel_tol=1e-3)
+
+
+def test_lm_order_and_repeats_count(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    lines = [prose(rng, 12) for _ in range(12)]
+    texts = ["\n".join(rng.choice(lines[:3]) for _ in range(12)) if i % 2 else prose(rng, 140) for i in range(80)]
+    line = prose(rng, 30)
+    mixed = (line + " " + line + " " + line).split()
+    rng.shuffle(mixed)
+    texts += [line + " " + line + " " + line, " ".join(mixed), "w" * 3_000_000 + " end"]
+    got = {r["doc_id"]: r for r in lm.score(frame(spark, texts), F.col("doc_id") < 80).collect()}
+    assert got[80]["base_score"] == pytest.approx(got[81]["base_score"]) and got[80]["score"] > got[81]["score"] + 5
+    assert got[82]["n_tokens"] == 3 and got[82]["n_bytes"] == 3_000_004 and 0 < got[82]["bits_per_byte"] < 16
+
+
+def test_long_texts_are_read_in_segments(monkeypatch):
+    monkeypatch.setattr(lm, "SEGMENT", 50)
+    rng = random.Random(6)
+    texts = [prose(rng, 200).encode(), b"", b"q" * 500, b"a " * 90]
+    own = {}
+    for k, words in lm.segments(texts):
+        own.setdefault(k, []).extend(words)
+    assert own == {k: lm.tokens(t) for k, t in enumerate(texts)}
+
+
 def test_rules_by_brute_force():
     rng = random.Random(2)
     for _ in range(1500):
