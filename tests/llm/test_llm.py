@@ -486,3 +486,110 @@ def test_pipeline_near_copies_by_brute_force(spark):
     assert len(texts) / 4 < len(set(group)) < len(texts) * 3 / 4
     kept = [r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, frame(spark, texts), "").collect()]
     assert sorted(kept) == sorted(set(group))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_against_sql(name, spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    found = queries.QUERIES[name](spark, folder)
+    names = sorted(found.columns)
+    plain = lambda v: round(v, 3) if isinstance(v, float) else v
+    got = sorted((tuple(plain(r[c]) for c in names) for r in found.collect()), key=repr)
+    want = con.sql(queries.ORACLE_SQL[name]).to_arrow_table().to_pylist()
+    assert got == sorted((tuple(plain(r[c]) for c in names) for r in want), key=repr)
+
+
+def test_query_columns(spark):
+    """Columns, types and held-out rows of the thin queries; their operators have tests of their own."""
+    import zlib
+
+    folder = "/root/testdata/sf0.001"
+    docs = {r["doc_id"] for r in queries.documents(spark, folder).collect()}
+    for name, folds, key in (("op3_toxicity", 5, 0), ("op8_lm_scoring", 7, 2), ("op10_language_id", 4, 2)):
+        found = queries.QUERIES[name](spark, folder)
+        rows = found.collect()
+        assert dict(found.dtypes)["held_out"] == "boolean" and dict(found.dtypes)["score"] == "double" and {r["doc_id"] for r in rows} == docs
+        assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % folds == key) for r in rows)
+
+
+def test_forest_paths_by_hand():
+    """Scores from path lengths walked one row and tree at a time."""
+    rng = np.random.default_rng(4)
+    x = rng.random((200, 4)) * [1, 5, 2, 9]
+    forest = quality.Forest.grow(x, trees=30, sample=64)
+
+    def path(row, t):
+        node = 0
+        while forest.column[t, node] >= 0:
+            node = 2 * node + (2 if row[forest.column[t, node]] > forest.value[t, node] else 1)
+        return forest.depth[t, node]
+
+    want = [2 ** -(np.mean([path(row, t) for t in range(30)]) / forest.unit) for row in x]
+    assert np.allclose(forest.score(x), want)
+
+
+def test_votes_by_hand():
+    """Language and score of texts from one machine after the other."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(w) for _ in range(30)).encode() for w in (["der", "und"], ["the", "and"], ["les", "que"], ["het", "een"]) for _ in range(30)]
+    langs = [lang for lang in ("de", "en", "fr", "nl") for _ in range(30)]
+    model = langid.LanguageModel.fit(texts, langs)
+    asked = texts[::7] + [b"der les the", b"x"]
+    got, scores = model.predict(np.frombuffer(b"".join(asked), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in asked])]))
+
+    def decide(votes, text):
+        at, share = langid.frequencies(text)
+        won, total = [0.0] * len(votes.classes), [0.0] * len(votes.classes)
+        for k, (a, b) in enumerate(votes.pairs):
+            margin = float(votes.weights[at, k] @ share) + votes.bias[k]
+            p = 1 / (1 + math.exp(-max(-40, min(40, 3 * margin / votes.unit[k]))))
+            total[a], total[b] = total[a] + p, total[b] + 1 - p
+            won[a if p >= 0.5 else b] += 1
+        best = max(range(len(won)), key=lambda i: won[i] + total[i] / len(won) / 2)
+        return votes.classes[best], total[best] / (len(won) - 1) if len(won) > 1 else 1.0
+
+    for text, lang, score in zip(asked, got, scores, strict=True):
+        family, p = decide(model.family, text)
+        own, q = decide(model.within[family], text)
+        assert lang == own and math.isclose(score, p * q, rel_tol=1e-3)
+
+
+def test_convolution_by_hand():
+    """Logits from word vectors, filters of each width and the greatest value of each, one place at a time."""
+    rng = random.Random(9)
+    texts = [prose(rng, rng.randint(0, 12)).encode() for _ in range(40)]
+    m = toxicity.train(texts, np.array([i % 2 for i in range(40)], np.float32), epochs=1)
+    got, _ = toxicity.logits_of(m, texts, {})
+    vocab = toxicity.Vocabulary()
+    for text, logit in zip(texts, got, strict=True):
+        ids = vocab.add(text.split())
+        vectors = m.vectors(np.array(vocab.rows, np.int64), np.array(vocab.owner, np.int64), len(vocab.ids)) if len(vocab.ids) else np.zeros((0, toxicity.DIM))
+        h, col = [], 0
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                values = [sum(float(vectors[ids[p + j]] @ m.filters[:, col + j * toxicity.FILTERS + f]) for j in range(width)) for p in range(len(ids) - width + 1)]
+                h.append(max(0.0, max(values, default=0.0) + m.bias[k * toxicity.FILTERS + f]) if values else 0.0)
+            col += toxicity.FILTERS * width
+        assert math.isclose(logit, float(np.array(h) @ m.out + m.out_bias), rel_tol=1e-3, abs_tol=1e-3)
+
+
+def test_pipeline_rows_by_operators(spark, odd, tmp_path):
+    """What each stage keeps, against plain versions of its rule, on rows with nulls, repeats and clashing columns."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(odd.collect(), odd.schema)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    before = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    one = stages["language_id"](spark, before, "").collect()
+    assert sorted(r["doc_id"] or -1 for r in one) == sorted(r["doc_id"] or -1 for r in odd.collect() if any(map(str.isalpha, r["text"] or "")))
+    two = stages["exact_dedup"](spark, before, "")
+    groups = {}
+    for r in odd.collect():
+        groups.setdefault((r["text"] or "").encode().lower(), []).append(r["doc_id"])
+    assert two.columns == odd.columns and Counter(r["doc_id"] for r in two.collect()) == Counter(max(ids, key=lambda i: (i is not None, i or 0)) for ids in groups.values())
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
