@@ -213,9 +213,9 @@ pipeline_query("pql_inline", "QUERY [{k: 1, v: 'a'}, {k: 2, v: 'b'}] INNER JOIN
 pipeline_query("pql_aggregate_right", "QUERY orders COMPUTE many = 1000 < COUNT(*), n = COUNT(DISTINCT o_custkey), top = MAX(o_totalprice)", "SELECT count(*) > 1000 AS many, count(DISTINCT o_custkey) AS n, max(o_totalprice) AS top FROM orders")
 
 
-@query(f"WITH e AS ({_EDGES}) SELECT a.src AS a, a.dst AS b, b.dst AS c, a.weight + b.weight AS w, p.p_name AS name FROM e a JOIN e b ON a.dst = b.src JOIN part p ON p.p_partkey = b.dst WHERE a.weight > 2 AND b.weight > 2")
+@query(f"WITH e AS ({_EDGES}) SELECT a.src AS a, a.dst AS b, b.dst AS c, a.weight + b.weight AS w, p.p_name AS name FROM e a JOIN e b ON a.dst = b.src JOIN part p ON p.p_partkey = b.dst WHERE a.weight > 1 AND b.weight > 1")
 def pql_match(e: Engine) -> DataFrame:
-    e.catalog.put("strong", edges(e).where("weight > 2"))
+    e.catalog.put("strong", edges(e).where("weight > 1"))
     return e.pql("QUERY part MATCH (a)-[x:strong]->(b)-[y:strong]->(c:part) SELECT a, b, c, x.weight + y.weight AS w, c_node.p_name AS name").distinct()
 
 
@@ -231,11 +231,11 @@ def graph_neighbors(e: Engine) -> DataFrame:
     return graph.neighbors(edges(e), 7, 5).select("dst", "weight")
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT src, dst FROM ({_EDGES}) WHERE weight > 2), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), b(start, node, depth) AS (SELECT node, node, 0 FROM n UNION SELECT b.start, e.dst, b.depth + 1 FROM b JOIN e ON b.node = e.src WHERE b.depth < 60)
+@query(f"""WITH RECURSIVE e AS (SELECT src, dst FROM ({_EDGES}) WHERE weight > 1), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), b(start, node, depth) AS (SELECT node, node, 0 FROM n UNION SELECT b.start, e.dst, b.depth + 1 FROM b JOIN e ON b.node = e.src WHERE b.depth < 60)
     SELECT start AS node, round(count(*) / sum(d), 8) AS closeness FROM (SELECT start, node, min(depth) AS d FROM b WHERE start <> node GROUP BY start, node) GROUP BY start""")
 def graph_closeness(e: Engine) -> DataFrame:
-    """Over links of weight above 2, which is a graph of its own."""
-    return graph.closeness(edges(e).where("weight > 2")).select("node", F.round("closeness", 8).alias("closeness"))
+    """Over links that occur again, which are a graph of their own."""
+    return graph.closeness(edges(e).where("weight > 1")).select("node", F.round("closeness", 8).alias("closeness"))
 
 
 @query(f"WITH e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM ({_EDGES}) WHERE weight > 1) SELECT x.a || '-' || x.b || '-' || y.b AS nodes FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b")
