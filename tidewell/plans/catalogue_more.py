@@ -238,9 +238,9 @@ def graph_closeness(e: Engine) -> DataFrame:
     return graph.closeness(edges(e).where("weight > 1")).select("node", F.round("closeness", 8).alias("closeness"))
 
 
-@query(f"WITH e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM ({_EDGES}) WHERE weight > 1) SELECT x.a || '-' || x.b || '-' || y.b AS nodes FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b")
+@query(f"WITH e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM ({_EDGES})) SELECT x.a || '-' || x.b || '-' || y.b || '-' || w.b AS nodes FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b JOIN e w ON w.a = y.b JOIN e u ON u.a = x.a AND u.b = w.b JOIN e v ON v.a = x.b AND v.b = w.b")
 def graph_cliques(e: Engine) -> DataFrame:
-    found = graph.cliques(edges(e).where("weight > 1"), 3)
+    found = graph.cliques(edges(e), 4)
     return found.select(F.array_join(F.transform("nodes", lambda x: x.cast("string")), "-").alias("nodes"))
 
 
