@@ -1,5 +1,7 @@
 """Languages, updates, schema rules and streams on fixtures of a few rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +90,38 @@ def test_windowed_stream(spark, tmp_path):
     df = streams.windowed(streams.watch(spark, str(tmp_path / "ev"), "ts timestamp, k string"), "ts", "1 minute", ["k"], [F.count("*").alias("n")])
     df.writeStream.format("memory").queryName("wins").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("wins").count() == 2
+
+
+@pytest.mark.parametrize("width", [None, 3, 1000])
+def test_asof_over_stretches(spark, width):
+    rng = random.Random(7)
+    left = [(rng.choice("abc"), rng.randrange(60), i) for i in range(80)]
+    right = [(rng.choice("ab"), rng.randrange(60), float(i)) for i in range(25)]
+    a, b = spark.createDataFrame(left, "k string, t int, i int"), spark.createDataFrame(right, "k string, t int, p double")
+    want = {i: max(((u, p) for q, u, p in right if q == k and u <= t), default=(0, None))[1] for k, t, i in left}
+    assert {r["i"]: r["p"] for r in joins.asof_join(a, b, "t", ["k"], ["p"], width=width).collect()} == want
+
+
+def test_intervals_of_all_widths(spark):
+    rng = random.Random(8)
+    points, spans = [rng.randrange(5000) for _ in range(200)], [(i, s, s + rng.choice([0, 1, 7, 90, 3000])) for i, s in enumerate(rng.randrange(5000) for _ in range(40))]
+    got = joins.interval_join(spark.createDataFrame([(p, j) for j, p in enumerate(points)], "p int, j int"), spark.createDataFrame(spans, "i int, a int, b int"), "p", "a", "b", 2, fan=3)
+    assert sorted((r["j"], r["i"]) for r in got.collect()) == sorted((j, i) for j, p in enumerate(points) for i, a, b in spans if a <= p < b)
+
+
+def test_stateful_streams(spark, tmp_path):
+    for i, rows in enumerate([[("a", 1), ("b", 5)], [("a", 2)], [("a", 4), ("a", 4)]]):
+        spark.createDataFrame(rows, "k string, v long").selectExpr("k", "v", f"timestamp'2024-01-01 00:00:0{i}' AS ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = streams.watch(spark, str(tmp_path / "in"), "k string, v long, ts timestamp", per_trigger=1)
+    sums = streams.folded(stream, ["k"], lambda old, rows: (old[0] + int(rows["v"].sum()), old[1] + len(rows)), "total long, n long", "k string, total long, n long", (0, 0))
+    sums.writeStream.format("memory").queryName("folded").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    assert {tuple(r) for r in spark.table("folded").collect()} >= {("a", 11, 4), ("b", 5, 1)}
+    first = streams.distinct_within(stream, "ts", ["k"])
+    first.writeStream.format("memory").queryName("firsts").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r["k"] for r in spark.table("firsts").collect()) == ["a", "b"]
+
+
+def test_time_limit(engine, spark):
+    assert engine.within(60, lambda: spark.range(10).count()) == 10
+    with pytest.raises(Exception, match="cancel"):
+        engine.within(1, lambda: spark.range(1 << 44).selectExpr("sum(hash(id) % 7)").collect())

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import threading
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -72,6 +74,18 @@ class Engine:
         else:
             self.spark.udf.register(name, f, *([returns] if returns else []))
 
+    def within(self, seconds: float, run: Callable[[], Any]) -> Any:
+        """run(), whose Spark jobs are cancelled after so many seconds; they then fail."""
+        context, group = self.spark.sparkContext, uuid.uuid4().hex
+        context.setJobGroup(group, "limited", interruptOnCancel=True)
+        timer = threading.Timer(seconds, context.cancelJobGroup, [group])
+        timer.start()
+        try:
+            return run()
+        finally:
+            timer.cancel()
+            context.setLocalProperty("spark.jobGroup.id", None)
+
     def stream(self, df: DataFrame, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
         """The result in Arrow batches, a partition at a time, so that the driver never holds it whole."""
         names = df.columns

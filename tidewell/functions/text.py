@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.sources.stages import staged
+
 #: Frequent English words that an index leaves out.
 STOP_WORDS = "a an and are as at be but by for from has have if in into is it its no not of on or such that the their then there these they this to was were will with".split()
 
@@ -129,10 +131,11 @@ def query_matches(text: Column, query: str) -> Column:
 def bm25(docs: DataFrame, query: list[str], key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """key, bm25 for documents with any query term. idf = ln((N - df + 0.5) / (df + 0.5)), which may be negative.
 
-    Terms other than the query's never leave the scan: only their number does.
+    Texts are read once: what leaves the scan is a few whole numbers a document, staged for the statistics and the scores.
     """
     wanted = [q.lower() for q in query]
-    counted = docs.select(F.col(key).alias("_k"), terms(F.col(text)).alias("_t")).select("_k", F.size("_t").alias("_n"), *[(F.size("_t") - F.size(F.array_remove("_t", w))).alias(f"_f{i}") for i, w in enumerate(wanted)])
+    counted = docs.select(F.col(key).alias("_k"), terms(F.col(text)).alias("_t")).select("_k", F.size("_t").alias("_n"), *[_times(F.col("_t"), w).alias(f"_f{i}") for i, w in enumerate(wanted)])
+    counted = staged(counted, "bm25")
     stats = counted.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_avg"), *[F.sum((F.col(f"_f{i}") > 0).cast("long")).alias(f"_d{i}") for i in range(len(wanted))])
     both = counted.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)

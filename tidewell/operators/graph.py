@@ -32,6 +32,8 @@ def bfs(edges: DataFrame, starts: DataFrame, max_depth: int = 10, direction: str
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if depth % 8 == 0:  # one table again, so that plans stay short on long chains
+            seen = staged(seen, "bfs-seen")
     return seen
 
 

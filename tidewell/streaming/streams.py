@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,6 +29,33 @@ def sessions(df: DataFrame, time: str, gap: str, keys: list[str], aggregates: li
     return stamped.groupBy(F.session_window(time, gap), *keys).agg(*aggregates)
 
 
+def distinct_within(df: DataFrame, time: str, keys: list[str], late: str = "10 minutes") -> DataFrame:
+    """The first row of each key within the watermark's delay; state older than that is dropped."""
+    return df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+
+
+def folded(df: DataFrame, keys: list[str], step: Callable[[Any, pd.DataFrame], Any], state: str, out: str, start: Any, idle: str | None = None) -> DataFrame:
+    """A state for each key that ``step`` (old state, new rows) carries on, a row (keys, state) for each change; ``out`` is that row's schema.
+
+    With ``idle``, in milliseconds, the state of a key that has no rows for so long is dropped.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], held: Any) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        now = held.get if held.exists else start
+        for rows in batches:
+            now = tuple(step(now, rows))
+        held.update(now)
+        if idle:
+            held.setTimeoutDuration(int(idle))
+        yield pd.DataFrame([[*key, *now]], columns=names)
+
+    names = [f.split()[0] for f in out.split(",")]
+    return df.groupBy(*keys).applyInPandasWithState(run, out, state, "update", "ProcessingTimeTimeout" if idle else "NoTimeout")
+
+
 def apply_changes(changes: DataFrame, target: str, key: str, version: str, checkpoint: str, deleted: str = "deleted") -> StreamingQuery:
     """Folds each micro-batch into the next version of a Parquet table under ``target``/v=<batch>; a batch run twice writes the same."""
 
