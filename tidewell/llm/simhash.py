@@ -315,7 +315,7 @@ def alike(sets: list[np.ndarray], fps: np.ndarray, part: np.ndarray, crossing: b
 
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, row_col: str = "row", text_col: str = "text") -> DataFrame:
     """row (a distinct long of each row of docs), root: equal for all rows of a group and the row of one of it."""
-    with scratch() as kept:
+    with scratch() as kept:  # joins with what grows as the texts do are merges at every size
         rows = docs.select(F.col(row_col).alias("row"), F.col(text_col).alias("text"))
         late = _frequent(rows, size)
         by_hash = np.argsort(late)
@@ -339,9 +339,9 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, row_col
         read = staged(rows.mapInArrow(run, "row long, digest binary, n long, fp long, fq long, prefix array<long>"), "prefixes")
         named = staged(read.groupBy("digest").agg(F.min("row").alias("rep")), "sets")
         again = staged(read.select("row", "digest").join(named, "digest").where("row != rep").select("row"), "equal-sets")
-        listed = read.join(again, "row", "left_anti").select("row", "n", "fp", "fq", F.posexplode("prefix").alias("at", "h"))
+        listed = read.join(again.hint("merge"), "row", "left_anti").select("row", "n", "fp", "fq", F.posexplode("prefix").alias("at", "h"))
         several = staged(listed.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "shared-shingles")
-        filed = dealt(listed.join(several, "h").withColumn("parts", F.ceil(F.col("m") / FILE_ROWS)).drop("m"), ["h"], "row")
+        filed = dealt(listed.join(several.hint("merge"), "h").withColumn("parts", F.ceil(F.col("m") / FILE_ROWS)).drop("m"), ["h"], "row")
 
         def loosely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for h, i, j, part, row, fp, fq, n, at in whole_files(batches, 3):
@@ -354,7 +354,7 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, row_col
         members = staged(loose.select(F.col("node").alias("row"), "component").join(read.select("row", "n", "fp", "fq"), "row"), "members")
         sizes = members.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / PART_ROWS, F.sum("n") / PART_SHINGLES)).alias("parts"))
         members = staged(members.join(sizes, "component").select("row", "component", "parts", "fp", "fq"), "placed")
-        sets = _sets(members.join(rows, "row").select("row", "component", "parts", "fp", "fq", "text"), size)
+        sets = _sets(members.join(rows.hint("merge"), "row").select("row", "component", "parts", "fp", "fq", "text"), size)
 
         def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for component, i, j, part, row, fp, fq, shingles in whole_files(batches, 3):
