@@ -48,9 +48,10 @@ def test_empty_graphs(spark):
     assert communities.strongly_connected(none).count() == communities.betweenness(none).count() == communities.louvain(none).count() == 0
 
 
-def test_index_recall(spark):
+def test_index_recall(spark, tmp_path):
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    found = ann.search(ann.build(rows, 11), rows, rows.where("vec_id % 20 = 0"), k=10, probes=9, again=60).collect()
+    ann.save(ann.build(rows, 11), str(tmp_path))
+    found = ann.search(ann.load(spark, str(tmp_path)), rows, rows.where("vec_id % 20 = 0"), k=10, probes=9, again=60).collect()
     ids, x = zip(*[(r["vec_id"], r["embedding"]) for r in rows.where("embedding IS NOT NULL").collect()], strict=True)
     ids, x = np.array(ids), np.array(x)
     hits = total = 0

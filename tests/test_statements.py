@@ -174,3 +174,17 @@ def test_maps_of_meta(spark):
     df = spark.createDataFrame([(1, {"a": "1", "b": "2"})], "k int, meta map<string,string>")
     assert sources.merge_meta(df, {"b": "3", "c": "4"}).first()["meta"] == {"a": "1", "b": "3", "c": "4"}
     assert sources.drop_meta(df, ["a"]).first()["meta"] == {"b": "2"}
+
+
+def test_vectors_by_name(spark):
+    e = Engine(spark)
+    kind = "id int, embedding array<double>, meta map<string,string>"
+    e.put_vectors("near.a", spark.createDataFrame([(1, [1.0, 0.0], {"c": "x"}), (2, [0.0, 1.0], {"c": "y"})], kind))
+    e.put_vectors("near.a", spark.createDataFrame([(2, [0.6, 0.8], {"c": "y"}), (3, [0.9, 0.1], {"c": "y"})], kind))
+    e.put_vectors("far.a", spark.createDataFrame([(4, [1.0, 0.01], {"c": "x"})], kind))
+    with pytest.raises(Exception, match="dimension mismatch"):
+        e.put_vectors("near.a", spark.createDataFrame([(9, [1.0], {})], kind))
+    ids = lambda df: [r["id"] for r in df.collect()]
+    assert e.vector("near.a", 2).first()["embedding"] == [0.6, 0.8] and ids(e.search("near.a", [1.0, 0.0], 2)) == [1, 3]
+    assert ids(e.search("near.a", [1.0, 0.0], 1, meta={"c": "y"})) == [3] and ids(e.search("near.a", [1.0, 0.0], 1, where={"id": {"$gt": 3}})) == []
+    assert ids(e.search("near.a", [1.0, 0.0], 1, ids=spark.createDataFrame([(2,)], "id int"))) == [2] and ids(e.search(None, [1.0, 0.0], 2)) == [1, 4] and ids(e.search("far.*", [1.0, 0.0])) == [4]

@@ -10,8 +10,9 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewell.functions import jsons
+from tidewell.functions import jsons, vectors
 from tidewell.operators import filters
 from tidewell.plans import dml, pql
 from tidewell.sources import catalog
@@ -62,6 +63,22 @@ class Engine:
     def delete(self, name: str, where: dict[str, Any]) -> DataFrame:
         return self.catalog.store(name, self.catalog.resolve(name).where(~filters.matches(where)))
 
+    def put_vectors(self, name: str, rows: DataFrame, key: str = "id", vector: str = "embedding") -> DataFrame:
+        """Vectors with their other columns, added or replacing those of the same key. The first rows fix the number of dimensions; others fail."""
+        first = (self.catalog.resolve(name) if self.catalog.known(name) else rows).where(F.col(vector).isNotNull()).select(F.size(vector).alias("n")).first()
+        return self.put(name, vectors.checked(rows, first["n"], vector) if first else rows, key)
+
+    def vector(self, name: str, value: Any, key: str = "id") -> DataFrame:
+        return self.catalog.resolve(name).where(F.col(key) == F.lit(value))
+
+    def search(self, name: str | None, query: list[float], k: int = 10, metric: str = "cosine", vector: str = "embedding", where: dict[str, Any] | None = None, meta: dict[str, str] | None = None, ids: DataFrame | None = None, key: str = "id") -> DataFrame:
+        """The k nearest rows of a collection, or of all collections of a namespace ("space.*") or of all (None); filters apply before ranking, so k rows come where there are so many."""
+        df = self.catalog.wildcard(None if name is None else name[:-2]) if name is None or name.endswith(".*") else self.catalog.resolve(name)
+        df = df.where(F.col(vector).isNotNull()).where(filters.matches(where or {}))
+        df = df.where(vectors.meta_matches(meta)) if meta else df
+        df = df.join(ids.select(key).distinct(), key, "left_semi") if ids is not None else df
+        return vectors.top_k(df, query, k, metric, vector)
+
     def aggregate(self, name: str, stages: list[dict[str, Any]]) -> DataFrame:
         return filters.aggregate(self.catalog.resolve(name), stages, self.catalog.resolve)
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.vectors import l2_squared
@@ -44,6 +44,21 @@ class Index:
         return np.array_split(x, len(self.books), axis=1)
 
 
+def save(index: Index, path: str) -> None:
+    """Centroids and codebooks as one table, rows as another, both under path."""
+    spark = index.rows.sparkSession
+    lines = [(-1, i, [float(x) for x in c]) for i, c in enumerate(index.centres)] + [(j, i, [float(x) for x in c]) for j, book in enumerate(index.books) for i, c in enumerate(book)]
+    spark.createDataFrame(lines, "part int, code int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/books")
+    index.rows.write.mode("overwrite").parquet(f"{path}/rows")
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    parts: dict[int, list[list[float]]] = {}
+    for r in spark.read.parquet(f"{path}/books").orderBy("part", "code").collect():  # cells and codes are fixed numbers
+        parts.setdefault(r["part"], []).append(r["centre"])
+    return Index(np.array(parts.pop(-1)), [np.array(parts[j]) for j in sorted(parts)], spark.read.parquet(f"{path}/rows"))
+
+
 def build(vectors: DataFrame, cells: int, parts: int = 16, codes: int = 256, key: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE_ROWS) -> Index:
     have = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("vector"))
     got = [r["vector"] for r in have.orderBy(F.xxhash64("key"), "key").limit(sample).collect()]  # at most sample rows
