@@ -11,7 +11,8 @@ of the next level, and so on until a source is one block; there the last two are
 (the landing problem). A hot source is just more blocks. Random numbers are hashes of ids, so reruns agree.
 
 Null sources are a source of their own, which comes last. Texts that are null or have no word are of size 0 and never
-taken. Repeated rows are documents of their own. Extra columns are ignored.
+taken. Repeated rows are documents of their own, but those of equal id and size share their random numbers. Very long texts are counted whole; an empty table
+gives an empty one. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.sources.catalog import sequence
+
 from .common import WORD, staged
 
 EPS = 1e-9
@@ -31,19 +34,24 @@ EPS = 1e-9
 def targets(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), total: float = 1.5, cap: float = 2.0) -> DataFrame:
     """From rows (source, size): source, source_size, target.
 
-    Sources, ordered by code point with null last, take the weights in turn. Their targets are min(cap * size, level * weight)
-    for the one level at which they sum to ``total`` times all sizes, which is what resharing the excess again and again ends at.
-    The table of sources is small (an aggregate), so its windows may be global.
+    Sources, ordered by code point with null last, take the weights in turn; they are numbered by range partitions, as there may be millions. Their targets are
+    min(cap * size, level * weight) for the one level at which they sum to ``total`` times all sizes. It is found as resharing finds it: sources above their
+    cap are set to it and the rest is shared anew, one aggregate a round, until none is.
     """
     own = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    by_name, by_ratio = Window.orderBy(F.col("source").asc_nulls_last()), Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    every = by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    own = own.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1))
-    own = own.withColumn("most", F.col("source_size") * cap).withColumn("ratio", F.col("most") / F.col("weight"))
-    before = F.coalesce(F.sum("most").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    level = (F.sum("source_size").over(every) * total - before) / F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing))
-    own = own.withColumn("level", level).withColumn("level", F.max("level").over(every))
-    return own.select("source", "source_size", F.least("most", F.col("level") * F.col("weight")).cast("double").alias("target"))
+    own = sequence(own.withColumn("none", F.col("source").isNull()), ["none", "source"], 0, name="place")
+    weight = F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.col("place"), F.lit(len(weights))).cast("int") + 1)
+    own = staged(own.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * cap).alias("most")), "sources")
+    whole, level = float(own.agg(F.sum("source_size")).first()[0] or 0) * total, 0.0
+    while True:
+        free = F.col("most") > F.lit(level) * F.col("weight")
+        r = own.agg(F.sum(F.when(free, F.col("weight"))).alias("shares"), F.sum(F.when(~free, F.col("most"))).alias("set")).first()
+        if not r["shares"]:  # all are at their caps
+            return own.select("source", "source_size", F.col("most").cast("double").alias("target"))
+        higher = (whole - (r["set"] or 0.0)) / r["shares"]
+        if higher <= level:
+            return own.select("source", "source_size", F.least("most", F.lit(level) * F.col("weight")).cast("double").alias("target"))
+        level = higher
 
 
 def flight(size: np.ndarray, pi: np.ndarray, u: np.ndarray) -> np.ndarray:
