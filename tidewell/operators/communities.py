@@ -69,6 +69,7 @@ def louvain(edges: DataFrame, rounds: int = 8, levels: int = 3) -> DataFrame:
     """node, community (least node of it): nodes move to the neighbouring community that gains most modularity, then communities become nodes.
 
     In a round half of the nodes, by hash, may move, so that neighbours don't swap for ever; ties go to the least community. Edges are taken both ways.
+    ``rounds`` a level and ``levels`` are the method's limits: it may stop while some node would still gain by moving.
     """
     e = edges.select("src", "dst", F.col("weight").cast("double").alias("w"))
     e = staged(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.sum("w").alias("w")), "louvain-edges")
