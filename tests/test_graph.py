@@ -69,6 +69,9 @@ def test_cheapest_paths_and_routes(spark):
             assert got == simple_paths(weights, 0, target, hops)[:6]
         best = simple_paths(weights, 0, target, 9)[:1]
         assert [(r["cost"], r["length"], r["path"]) for r in graph.shortest_route(edges, 0, target).collect()] == best
+    far = {b: min((simple_paths(weights, b, 7, 9)[:1] or [(1e9,)])[0][0] for b in [b]) for b in range(9) if b != 7}
+    bounds = spark.createDataFrame([(b, 0.9 * c) for b, c in far.items()], "node long, least double")
+    assert graph.shortest_route(edges, 0, 7, least=bounds).collect() == graph.shortest_route(edges, 0, 7).collect()
     assert graph.shortest_route(edges, 0, 99).count() == 0
 
 

@@ -188,3 +188,21 @@ def test_vectors_by_name(spark):
     assert e.vector("near.a", 2).first()["embedding"] == [0.6, 0.8] and ids(e.search("near.a", [1.0, 0.0], 2)) == [1, 3]
     assert ids(e.search("near.a", [1.0, 0.0], 1, meta={"c": "y"})) == [3] and ids(e.search("near.a", [1.0, 0.0], 1, where={"id": {"$gt": 3}})) == []
     assert ids(e.search("near.a", [1.0, 0.0], 1, ids=spark.createDataFrame([(2,)], "id int"))) == [2] and ids(e.search(None, [1.0, 0.0], 2)) == [1, 4] and ids(e.search("far.*", [1.0, 0.0])) == [4]
+
+
+def test_partitions_chunks_and_times(spark):
+    import datetime
+
+    df = spark.createDataFrame([(1, 5), (2, 15), (3, 99), (4, None)], "k int, v int")
+    named = lambda **how: {r["k"]: r["part"] for r in sources.partitioned(df, "v", **how).collect()}
+    assert named(ranges={"low": (None, 10), "mid": (10, 50)}) == {1: "low", 2: "mid", 3: "default", 4: "default"}
+    assert named(lists={"odd": [5, 99]}, default="rest") == {1: "odd", 2: "rest", 3: "odd", 4: "rest"}
+    assert {v for k, v in named(hashes=2).items() if k < 4} <= {"h0", "h1"}
+    blobs = spark.createDataFrame([("a", bytes(range(256)) * 5), ("b", b""), ("c", b"x" * 100)], "name string, content binary")
+    parts = sources.chunked(blobs, "name", size=100)
+    assert parts.count() == 13 + 1 + 1 and {r["name"]: bytes(r["content"]) for r in sources.unchunked(parts, "name").collect()} == {r["name"]: bytes(r["content"]) for r in blobs.collect()}
+    e = Engine(spark)
+    e.sql("CREATE TABLE log AS SELECT 1 AS a")
+    before = datetime.datetime.now()
+    e.sql("INSERT INTO log VALUES (2)")
+    assert e.catalog.at_time("log", before).count() == 1 and e.catalog.at_time("log", datetime.datetime.now()).count() == 2

@@ -72,10 +72,12 @@ def shortest_paths(edges: DataFrame, source, max_rounds: int | None = None) -> D
         best = staged(best.unionByName(frontier).groupBy("node").agg(F.min("distance").alias("distance")), "sssp")
 
 
-def shortest_route(edges: DataFrame, source, target, max_rounds: int | None = None) -> DataFrame:
+def shortest_route(edges: DataFrame, source, target, max_rounds: int | None = None, least: DataFrame | None = None) -> DataFrame:
     """path (array of nodes), cost, length of a cheapest way from source to target; no row where there is none. Of equal costs the fewest hops, then the least nodes.
 
-    Each round extends the best ways that the round before improved, and leaves out those that already cost more than the best way to the target.
+    Each round extends the best ways that the round before improved, and leaves out those that already cost more than the best way to the target. ``least``
+    (node, least) is what the rest of the way from a node costs at least, such as its distance as the crow flies; ways that can't beat the best by it are
+    left out as well, as A* does. It must not be more than the true cost; nodes without a row have 0.
     """
     kind = edges.schema["src"].dataType.simpleString()
     best = staged(edges.sparkSession.createDataFrame([([source], 0.0)], f"path array<{kind}>, cost double").select(F.element_at("path", -1).alias("node"), F.struct("cost", F.size("path").alias("n"), "path").alias("way")), "route")
@@ -84,6 +86,8 @@ def shortest_route(edges: DataFrame, source, target, max_rounds: int | None = No
     while True:
         bound = best.where(F.col("node") == F.lit(target)).agg(F.min("way.cost")).first()[0]
         live = frontier if bound is None else frontier.where(F.col("way.cost") <= bound)
+        if bound is not None and least is not None:
+            live = live.join(least.select("node", "least"), "node", "left").where(F.col("way.cost") + F.coalesce("least", F.lit(0.0)) <= bound + 1e-9).drop("least")
         longer = live.join(edges, live["node"] == edges["src"]).where(~F.array_contains("way.path", F.col("dst")))
         step = longer.groupBy(F.col("dst").alias("node")).agg(F.min(F.struct((F.col("way.cost") + F.col("weight")).alias("cost"), (F.col("way.n") + 1).alias("n"), F.array_append("way.path", F.col("dst")).alias("path"))).alias("new"))
         fresh = staged(step.join(best, "node", "left").where("way IS NULL OR new < way").select("node", F.col("new").alias("way")), "route")

@@ -182,6 +182,7 @@ both("subquery_row", "SELECT p_partkey, p_name FROM part WHERE (p_size, p_brand)
 both("agg_percentile", "SELECT c_nationkey, percentile_cont(0.5) WITHIN GROUP (ORDER BY c_acctbal) AS median, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY c_acctbal), 6) AS p90 FROM customer GROUP BY c_nationkey")
 both("agg_approximate", "SELECT abs(approx_count_distinct(l_partkey) - count(DISTINCT l_partkey)) < 0.1 * count(DISTINCT l_partkey) AS near, abs(percentile_approx(l_quantity, 0.5, 1000) - 25) <= 2 AS middle FROM lineitem",
      "SELECT true AS near, abs(quantile_cont(l_quantity, 0.5) - 25) <= 2 AS middle FROM lineitem")
+both("agg_approximate_top", "SELECT item, count AS n FROM (SELECT inline(approx_top_k(event_type, 3)) FROM events)", "SELECT event_type AS item, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC LIMIT 3")
 both("collation_ignores_case", "SELECT n_nationkey FROM nation WHERE lower(n_name) COLLATE UTF8_LCASE = upper(n_name) ORDER BY n_name COLLATE UNICODE_CI", "SELECT n_nationkey FROM nation")
 
 

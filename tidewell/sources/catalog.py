@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from datetime import datetime
 from functools import reduce
 from typing import Any
 
@@ -29,6 +30,7 @@ class Catalog:
         #: earlier and current versions of stored tables, by name
         self.versions: dict[str, list[DataFrame]] = {}
         self.tags: dict[tuple[str, str], int] = {}
+        self._made: dict[str, list[datetime]] = {}
         self.materialised: dict[str, str] = {}
 
     def put(self, name: str, df: DataFrame) -> None:
@@ -72,13 +74,14 @@ class Catalog:
 
         key = self._found(name)
         if name not in self.versions and key:
-            self.versions[name] = [self._frames[key]]
+            self.versions[name], self._made[name] = [self._frames[key]], [datetime.min]
         after = staged(df, f"table-{name}")
         if rules is not None:
             self._rules[name] = rules
         if name in self._rules:
             enforced(self, name, after, self._rules[name])
         self.versions.setdefault(name, []).append(after)
+        self._made.setdefault(name, []).append(datetime.now())
         self.put(name, after)
         return after
 
@@ -89,6 +92,10 @@ class Catalog:
         """A stored table as it was: by number, from 0, or by a tag."""
         return self.versions[name][self.tags[name, version] if isinstance(version, str) else version]
 
+    def at_time(self, name: str, when: datetime) -> DataFrame:
+        """A stored table as it was at a time."""
+        return self.versions[name][max(i for i, made in enumerate(self._made[name]) if made <= when)]
+
     def tag(self, name: str, label: str) -> None:
         self.tags[name, label] = len(self.versions[name]) - 1
 
@@ -244,6 +251,29 @@ def from_duckdb(spark: SparkSession, connection: Any, sql: str) -> DataFrame:
     return spark.createDataFrame(connection.sql(sql).to_arrow_table())
 
 
+def partitioned(df: DataFrame, column: str, ranges: dict[str, tuple[Any, Any]] | None = None, lists: dict[str, list[Any]] | None = None, hashes: int | None = None, default: str = "default", name: str = "part") -> DataFrame:
+    """Rows with the name of their partition: the first range [low, high) or list that has the value, one of so many by hash, or the default. Write with partition_by (name,); several calls nest."""
+    c, out = F.col(column), F.lit(None).cast("string")
+    for part, (low, high) in reversed((ranges or {}).items()):
+        out = F.when((F.lit(True) if low is None else c >= F.lit(low)) & (F.lit(True) if high is None else c < F.lit(high)), part).otherwise(out)
+    for part, values in reversed((lists or {}).items()):
+        out = F.when(c.isin(*values), part).otherwise(out)
+    if hashes:
+        out = F.coalesce(out, F.concat(F.lit("h"), shard_of(c, hashes).cast("string")))
+    return df.withColumn(name, F.coalesce(out, F.lit(default)))
+
+
+def chunked(df: DataFrame, key: str, content: str = "content", size: int = 255 * 1024) -> DataFrame:
+    """key, n, data: binary contents in chunks, so that large files are rows of bounded size; empty ones have one empty chunk."""
+    last = F.greatest(F.lit(0), F.ceil(F.octet_length(content) / size).cast("int") - 1)
+    return df.where(F.col(content).isNotNull()).select(key, F.explode(F.sequence(F.lit(0), last)).alias("n"), F.col(content).alias("_c")).select(key, "n", F.substring("_c", F.col("n") * size + 1, F.lit(size)).alias("data"))
+
+
+def unchunked(chunks: DataFrame, key: str, content: str = "content") -> DataFrame:
+    listed = F.array_sort(F.collect_list(F.struct("n", "data")))
+    return chunks.groupBy(key).agg(F.aggregate(listed, F.lit(b""), lambda a, c: F.concat(a, c["data"])).alias(content))
+
+
 def tenant(df: DataFrame, name: str, column: str = "tenant") -> DataFrame:
     """One tenant's rows; write tables with partition_by (column,) so that a scan opens its folder only."""
     return df.where(F.col(column) == name)
