@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -334,3 +335,67 @@ def join_temporal(e: Engine) -> DataFrame:
     points = e.sql("SELECT o_orderkey, o_custkey AS k, unix_date(CAST(o_orderdate AS DATE)) AS day FROM orders")
     spans = e.sql("SELECT c_custkey, c_custkey AS k, unix_date(DATE '1996-01-01') AS since, unix_date(DATE '1996-03-01') AS until FROM customer")
     return joins.interval_join(points, spans, "day", "since", "until", 30, ["k"]).select("c_custkey", "o_orderkey")
+
+
+# more of the pipeline language and of document filters
+@query(f"SELECT vec_id FROM embeddings, {_Q} WHERE embedding IS NULL OR list_cosine_similarity({_LIST}, q) < 0.1")
+def pql_not_similar(e: Engine) -> DataFrame:
+    v = e.catalog.resolve("embeddings").where("vec_id = 1").first()["embedding"]
+    return e.pql("QUERY embeddings NOT SIMILAR TO @q IN embedding THRESHOLD 0.1 SELECT vec_id", q=v)
+
+
+@query(f"""SELECT p_partkey, CAST(coalesce(n, 0) AS DOUBLE) AS links FROM part LEFT JOIN (SELECT k, count(*) AS n FROM (SELECT src AS k FROM ({_EDGES}) UNION ALL SELECT dst FROM ({_EDGES})) GROUP BY k) ON k = p_partkey WHERE p_size > 40""")
+def pql_centrality(e: Engine) -> DataFrame:
+    e.catalog.put("follows", edges(e))
+    return e.pql("QUERY part WHERE p_size > 40 COMPUTE links = GRAPH_CENTRALITY(follows, p_partkey, 'degree') SELECT p_partkey, links")
+
+
+@query("SELECT s_suppkey, c_custkey FROM (SELECT s_suppkey, s_nationkey FROM supplier WHERE s_acctbal > 5000) LEFT JOIN (SELECT c_custkey, c_nationkey FROM customer WHERE c_acctbal > 9000) ON c_nationkey = s_nationkey")
+def pql_optional_match(e: Engine) -> DataFrame:
+    e.catalog.put("near", e.sql("SELECT s_suppkey AS src, c_custkey AS dst FROM supplier JOIN customer ON c_nationkey = s_nationkey WHERE c_acctbal > 9000"))
+    return e.pql("QUERY supplier WHERE s_acctbal > 5000 SELECT s_suppkey OPTIONAL MATCH (s_suppkey)-[:near]->(c_custkey)")
+
+
+@query(f"""WITH d AS (SELECT doc_id, len(ws) AS n, len([t for t in ws if t = 'license']) AS f1, len([t for t in ws if t = 'work']) AS f2 FROM (SELECT doc_id, {_TERMS} AS ws FROM documents)),
+    s AS (SELECT count(*) AS nn, avg(n) AS av, count(*) FILTER (WHERE f1 > 0) AS d1, count(*) FILTER (WHERE f2 > 0) AS d2 FROM d),
+    b AS (SELECT doc_id, round(CASE WHEN f1 > 0 THEN ln((nn - d1 + 0.5) / (d1 + 0.5)) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * n / av)) ELSE 0 END + CASE WHEN f2 > 0 THEN ln((nn - d2 + 0.5) / (d2 + 0.5)) * f2 * 2.2 / (f2 + 1.2 * (0.25 + 0.75 * n / av)) ELSE 0 END, 6) AS score FROM d, s WHERE f1 > 0 OR f2 > 0)
+    SELECT score FROM b ORDER BY score DESC LIMIT 10""")
+def pql_search(e: Engine) -> DataFrame:
+    return e.pql("QUERY documents SELECT doc_id, text SEARCH 'license work' IN text TOP 10 SELECT ROUND(_text_score, 6) AS score")
+
+
+@query(f"SELECT doc_id FROM (SELECT doc_id, {_TERMS} AS ws FROM documents) WHERE (list_contains(ws, 'license') OR list_contains(ws, 'licenses')) AND NOT (list_contains(ws, 'general') OR list_contains(ws, 'generals'))")
+def find_text(e: Engine) -> DataFrame:
+    return e.find("documents", {"$text": {"$search": "license -general"}}, limit=None).select("doc_id")
+
+
+@query("SELECT c_custkey FROM (SELECT c_custkey, (c_custkey * 37 % 3600) / 10.0 - 180 AS lon, (c_custkey * 53 % 1800) / 10.0 - 90 AS lat FROM customer) WHERE lon BETWEEN -20 AND 40 AND lat BETWEEN 30 AND 70 OR 2 * 6371008.8 * asin(sqrt(pow(sin(radians(-30 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(-30)) * pow(sin(radians(100 - lon) / 2), 2))) <= 2000000")
+def find_geo(e: Engine) -> DataFrame:
+    e.catalog.put("places", e.sql("SELECT c_custkey, array((c_custkey * 37 % 3600) / 10.0 - 180, (c_custkey * 53 % 1800) / 10.0 - 90) AS loc FROM customer"))
+    near = {"$near": {"$geometry": {"type": "Point", "coordinates": [100.0, -30.0]}, "$maxDistance": 2000000}}
+    return e.find("places", {"$or": [{"loc": {"$geoWithin": {"$box": [[-20, 30], [40, 70]]}}}, {"loc": near}]}, limit=None).select("c_custkey")
+
+
+@query("SELECT event_id, len(json_keys(props)) AS n, json_keys(props)[1] AS first FROM events")
+def json_each(e: Engine) -> DataFrame:
+    names = jsons.column("jsonb_object_keys")(F.col("props"))
+    return e.catalog.resolve("events").select("event_id", names.alias("ks")).select("event_id", F.size("ks").cast("long").alias("n"), F.col("ks")[0].alias("first"))
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type")
+def user_functions(e: Engine) -> DataFrame:
+    """A SQL function and an aggregate of pandas beside built-in ones."""
+
+    def whole(v: pd.Series) -> float:
+        return float(v.sum())
+
+    e.function("one_of", "(x DOUBLE) RETURNS BIGINT RETURN CASE WHEN x IS NULL THEN 0 ELSE 1 END")
+    e.function("whole", F.pandas_udf(whole, "double"))
+    return e.sql("SELECT a.event_type, n, round(total, 2) AS total FROM (SELECT event_type, sum(one_of(value)) AS n FROM events GROUP BY event_type) a JOIN (SELECT event_type, whole(value) AS total FROM events GROUP BY event_type) b ON a.event_type = b.event_type")
+
+
+@query("SELECT 'h' || (c_custkey % 1) AS dummy, c_mktsegment, count(*) AS n FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY ALL")
+def source_partitions(e: Engine) -> DataFrame:
+    """Rows by list of values, the others by default."""
+    named = catalog.partitioned(e.catalog.resolve("customer"), "c_mktsegment", lists={"BUILDING": ["BUILDING"], "MACHINERY": ["MACHINERY"]})
+    return named.where("part <> 'default'").groupBy(F.lit("h0").alias("dummy"), F.col("part").alias("c_mktsegment")).agg(F.count("*").alias("n"))
