@@ -10,7 +10,9 @@ words; the ``lang`` column is never read), each group gets the threshold that se
 the logistic of the distance to it, so 0.5 is the threshold in every language.
 
 Null and empty texts get the score of a text without evidence. Fitting reads at most about ``positives`` + ``negatives``
-labelled rows; scoring reads every whole text in one pass without a shuffle. Where there are no labels every score is 0.
+labelled rows, whose whole texts reach the driver: a bound on rows and not on bytes. Scoring reads every whole text, however long, in one pass without a
+shuffle. Where there are no labels every score is 0. A score of just 0.5 is toxic. Rows repeat as they come; of repeated labels of an id any 1 counts; an
+empty table gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
