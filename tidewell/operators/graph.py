@@ -23,7 +23,7 @@ def neighbors(edges: DataFrame, node, limit: int | None = None) -> DataFrame:
 
 def bfs(edges: DataFrame, starts: DataFrame, max_depth: int = 10, direction: str = "out") -> DataFrame:
     """node, depth: hops from the nearest start (a table with column node). Each level joins the frontier only."""
-    e = directed(edges, direction)
+    e = staged(directed(edges, direction), "bfs-edges")
     seen = staged(starts.select("node").distinct().withColumn("depth", F.lit(0)), "bfs")
     frontier = seen
     for depth in range(1, max_depth + 1):
@@ -212,7 +212,7 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 def graph_lookup(edges: DataFrame, starts: DataFrame, max_depth: int | None) -> DataFrame:
     """start, node, depth: everything reachable from each start separately, with least depth, at most max_depth where given."""
-    e = directed(edges)
+    e = staged(directed(edges), "lookup-edges")
     seen = staged(starts.select(F.col("node").alias("start"), "node").distinct().withColumn("depth", F.lit(0)), "lookup")
     frontier = seen
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
