@@ -5,12 +5,13 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 
-from tidewell.llm import bpe, exact, langid, lm, mixing, pii, quality, queries, simhash, suffix, toxicity
+from tidewell.llm import bpe, common, exact, langid, lm, mixing, pii, quality, queries, simhash, suffix, toxicity
 
 WORDS = ["".join(random.Random(i).choice("abcdeé") for _ in range(1 + i % 9)) for i in range(200)]
 
@@ -87,6 +88,23 @@ def test_suffix_removal(spark, odd, none, monkeypatch, collection):
         assert suffix.remove_repeats(none).count() == 0
 
 
+def test_suffix_fragments_are_dealt_over_passes(spark, monkeypatch):
+    rng, made, gone = random.Random(8), [], []
+    texts = [prose(rng, 150) for _ in range(40)] * 5  # all repeat, so every fragment is a hit
+
+    def staged(df, name):
+        made.append((name, common.staged(df, name)))
+        if name == "fragments":
+            gone.append(made[-1][1].count())
+        return made[-1][1]
+
+    monkeypatch.setattr(suffix, "staged", staged)
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix.remove_repeats(frame(spark, texts)).collect()}
+    assert got == repeats([(i, t.encode()) for i, t in enumerate(texts)])
+    assert max(gone) < 0.4 * sum(gone)
+    assert {name for name, df in made if Path(df._staged_at).exists()} == {"later", "sorted", "firsts"}
+
+
 def test_fragment_digests_have_128_bits():
     raw = b"".join(b"%06d" % i for i in range(500))
     begin = np.arange(0, len(raw) - 60, 6)

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer_of, slices, staged, utf8
+from .common import buffer_of, discard, numbered, scratch, slices, staged, utf8
 
 SPAN = 100
 ANCHOR = 32
 COLLECTION = 8192
 SEGMENT = 1 << 22
+#: Passes over which anchors are dealt, so that this share of all fragments lies on disk at a time.
+PARTS = 4
 _TABLE = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -155,15 +158,20 @@ def runs(offsets: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, key, text; key is the id, or where ids repeat or are null the id and a number given once."""
+    """id, key, text; key is the id, or where ids repeat or are null the id and the row's number, for which no copy of the texts is made."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL").isEmpty():
         return rows.select("id", F.col("id").alias("key"), "text")
-    return staged(rows.withColumn("key", F.struct("id", F.monotonically_increasing_id().alias("row"))), "numbered")
+    known = numbered(docs, "__place")
+    return known.select(F.col(id_col).alias("id"), F.struct(F.col(id_col).alias("id"), F.col("__place").alias("row")).alias("key"), F.col(text_col).alias("text"))
 
 
-def repeats(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
-    """key, since, until: byte ranges that cover all that is to be removed; docs has key and text. Ranges may overlap."""
+def repeats(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR, parts: int = PARTS) -> DataFrame:
+    """key, since, until: byte ranges that cover all that is to be removed; docs has key and text. Ranges may overlap.
+
+    Anchors are dealt by hash over ``parts`` passes over the texts, each of which places the fragments of its own anchors, takes them to classes and leaves only
+    ranges and the classes to be sorted behind. So the tables of fragments, which are larger than the texts where all of these repeat, never lie on disk as a whole.
+    """
     key_type = docs.schema["key"].dataType.simpleString()
     rows = docs.select("key", "text")
 
@@ -174,27 +182,46 @@ def repeats(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFram
             h, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int32))], names=["h", "n"])
 
-    again = staged(rows.mapInArrow(anchors, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "anchors")
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(own: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             data, offsets = buffer_of(part.column(1))
             raw = data.tobytes()
             found = [fragments(data[a:b], span, anchor) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             owner = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
             start, width, h, lead = (np.concatenate([x[k] for x in found]) for k in range(4))
+            mine = np.flatnonzero(h % parts == own)
+            owner, start, width, h, lead = (x[mine] for x in (owner, start, width, h, lead))
             begin = start + offsets[owner]
             f, g = digests(raw, begin, begin + width + span - 1)
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(h), pa.array(f), pa.array(g), pa.array(start.astype(np.int32)), pa.array(width.astype(np.int16)), pa.array(lead.astype(np.int16))], names=["key", "h", "f", "g", "start", "width", "lead"])
 
-    hits = staged(rows.mapInArrow(placed, f"key {key_type}, h long, f long, g long, start int, width smallint, lead smallint").join(again, "h"), "fragments")
-    classes = staged(hits.groupBy("h", "f", "g").agg(F.min(F.struct("key", "start")).alias("first"), F.min("width").alias("width"), F.min("lead").alias("lead"), F.count("*").alias("n")), "classes")
-    later = hits.join(classes.where("n > 1").select("h", "f", "g", "first"), ["h", "f", "g"]).where(F.struct("key", "start") != F.col("first"))
-    later = later.select("key", F.col("start").alias("since"), (F.col("start") + F.col("width") + span - 1).alias("until"))
+    laters, splits = [], []
+    with scratch() as kept:
+        again = staged(rows.mapInArrow(anchors, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "anchors")
+        for own in range(parts):
+            with scratch() as now:
+                hits = rows.mapInArrow(partial(placed, own), f"key {key_type}, h long, f long, g long, start int, width smallint, lead smallint")
+                hits = staged(hits.join(again.where(F.pmod("h", F.lit(parts)) == own), "h"), "fragments")
+                classes = staged(hits.groupBy("h", "f", "g").agg(F.min(F.struct("key", "start")).alias("first"), F.min("width").alias("width"), F.min("lead").alias("lead"), F.count("*").alias("n")), "classes")
+                later = hits.join(classes.where("n > 1").select("h", "f", "g", "first"), ["h", "f", "g"]).where(F.struct("key", "start") != F.col("first"))
+                later = later.select("key", F.col("start").alias("since"), (F.col("start") + F.col("width") + span - 1).alias("until"))
+                laters.append(kept.keep(now.keep(staged(later, "later"))))
+                discard(hits)
+                mixed = classes.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+                split = classes.join(mixed, "h").withColumn("parts", F.ceil(F.col("m") / max(1, COLLECTION // 8)).cast("int"))
+                split = split.select(F.col("first.key").alias("key"), F.struct("h", F.pmod("f", F.col("parts")).cast("int").alias("salt"), "parts", F.col("first.start").alias("start"), "width", "lead").alias("x"))
+                splits.append(now.keep(staged(split, "split")))
+        discard(again)
+        found = kept.keep(_sorted(rows, reduce(DataFrame.unionByName, splits), key_type, span))
+        open_ = found.where("string IS NOT NULL")
+        first = kept.keep(staged(open_.groupBy("string").agg(F.min(F.struct("key", "since")).alias("first")), "firsts"))
+    beaten = open_.join(first, "string").where(F.struct("key", "since") != F.col("first")).select("key", "since", "until")
+    return reduce(DataFrame.unionByName, [*laters, found.where("string IS NULL").select("key", "since", "until"), beaten])
+
 
-    mixed = staged(classes.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "mixed")
-    split = classes.join(mixed, "h").withColumn("parts", F.ceil(F.col("m") / max(1, COLLECTION // 8)).cast("int"))
-    wanted = split.select(F.col("first.key").alias("key"), F.struct("h", F.pmod("f", F.col("parts")).cast("int").alias("salt"), "parts", F.col("first.start").alias("start"), "width", "lead").alias("x")).groupBy("key").agg(F.collect_list("x").alias("xs"))
+def _sorted(rows: DataFrame, split: DataFrame, key_type: str, span: int) -> DataFrame:
+    """The suffix order of classes that share an anchor: ranges that also start earlier, and with their strings what is first among the classes of a task."""
+    wanted = split.groupBy("key").agg(F.collect_list("x").alias("xs"))
     # the places of one document that are first of their class are fewer than its bytes
     texts = rows.join(wanted, "key").select("key", "text", "xs")
 
@@ -241,11 +268,7 @@ def repeats(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFram
                 held = held[whole:]
             yield answer(held)
 
-    sorted_ = staged(pieces.mapInArrow(sort, f"key {key_type}, since int, until int, string binary"), "sorted")
-    open_ = sorted_.where("string IS NOT NULL")
-    first = staged(open_.groupBy("string").agg(F.min(F.struct("key", "since")).alias("first")), "firsts")
-    beaten = open_.join(first, "string").where(F.struct("key", "since") != F.col("first")).select("key", "since", "until")
-    return later.unionByName(sorted_.where("string IS NULL").select("key", "since", "until")).unionByName(beaten)
+    return staged(pieces.mapInArrow(sort, f"key {key_type}, since int, until int, string binary"), "sorted")
 
 
 def _comparable(key):
