@@ -43,26 +43,61 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
 def betweenness(edges: DataFrame) -> DataFrame:
     """node, betweenness: over all ordered pairs, the share of shortest paths by hops that pass through the node.
 
-    Levels of all starts grow together with their numbers of paths, then shares flow back level by level. Rows are pairs of a start and a
-    node it reaches, which the measure itself asks for.
+    A node whose only neighbour, both ways, is one other is folded into that one, round by round, until none is left; what passes through folded
+    nodes and between what is folded into one node follows from numbers of nodes alone, as there is only one way. So trees take rows in proportion to
+    their nodes. Of the rest, levels of all starts grow together with their numbers of paths, then shares flow back level by level, with nodes that weigh as many as were
+    folded into them. These rows are pairs of a start and a node it reaches, which the measure itself asks for.
     """
-    e, nodes = staged(edges.select("src", "dst").where("src != dst").distinct(), "between-edges"), _nodes(edges)
-    seen = level = staged(nodes.select(F.col("node").alias("start"), "node", F.lit(1.0).alias("ways")), "between")
+    e = staged(edges.select("src", "dst").where("src != dst").distinct(), "between-edges")
+    # weight: itself and all folded into it; squares: of the weights of its branches, summed
+    nodes = staged(_nodes(edges).select("node", F.lit(1.0).alias("weight"), F.lit(0.0).alias("squares")), "between-nodes")
+    folded = []
+    while True:
+        ends = e.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("parent"), F.max("dst").alias("most")).where("parent = most")
+        back = e.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("first"), F.max("src").alias("last")).where("first = last")
+        leaves = ends.join(back, "node").where("parent = first").select("node", "parent")
+        # of two that have only each other the smaller one stays
+        pairs = leaves.select(F.col("node").alias("parent"), F.col("parent").alias("node"))
+        leaves = leaves.join(pairs, ["node", "parent"], "left_semi").where("node > parent").unionByName(leaves.join(pairs, ["node", "parent"], "left_anti"))
+        leaves = staged(leaves.join(nodes, "node"), "between-folded")
+        if leaves.isEmpty():
+            break
+        folded.append(leaves)
+        more = leaves.groupBy(F.col("parent").alias("node")).agg(F.sum("weight").alias("more"), F.sum(F.col("weight") * F.col("weight")).alias("own"))
+        nodes = nodes.join(leaves.select("node"), "node", "left_anti").join(more, "node", "left")
+        nodes = staged(nodes.select("node", (F.col("weight") + F.coalesce("more", F.lit(0.0))).alias("weight"), (F.col("squares") + F.coalesce("own", F.lit(0.0))).alias("squares")), "between-nodes")
+        gone = leaves.select("node")
+        e = staged(e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "between-edges")
+
+    weights = nodes.select("node", "weight")
+    seen = level = staged(nodes.select(F.col("node").alias("start"), "node", F.lit(1.0).alias("ways"), "weight", F.col("weight").alias("starts")).where(F.lit(not e.isEmpty())), "between")
     levels = []
     while not level.isEmpty():
         levels.append(level)
-        step = level.join(e, level["node"] == e["src"]).groupBy("start", F.col("dst").alias("node")).agg(F.sum("ways").alias("ways"))
-        level = staged(step.join(seen, ["start", "node"], "left_anti"), "between")
+        step = level.join(e, level["node"] == e["src"]).groupBy("start", F.col("dst").alias("node")).agg(F.sum("ways").alias("ways"), F.max("starts").alias("starts"))
+        level = staged(step.join(seen, ["start", "node"], "left_anti").join(weights, "node").select("start", "node", "ways", "weight", "starts"), "between")
         seen = seen.unionByName(level)
-    shares, below = nodes.withColumn("share", F.lit(0.0)), None
+    none = F.lit(0.0)
+    shares, below = nodes.select("node", none.alias("share"), none.alias("out"), none.alias("into")), None
     for level in reversed(levels[1:]):
         if below is not None:
-            flow = below.join(e, below["node"] == e["dst"]).select("start", F.col("src").alias("node"), ((1 + F.col("share")) / F.col("ways")).alias("part")).groupBy("start", "node").agg(F.sum("part").alias("part"))
-            below = staged(level.join(flow, ["start", "node"], "left").select("start", "node", "ways", F.coalesce(F.col("ways") * F.col("part"), F.lit(0.0)).alias("share")), "between-back")
+            flow = below.join(e, below["node"] == e["dst"]).select("start", F.col("src").alias("node"), ((F.col("weight") + F.col("share")) / F.col("ways")).alias("part")).groupBy("start", "node").agg(F.sum("part").alias("part"))
+            below = staged(level.join(flow, ["start", "node"], "left").select("start", "node", "ways", "weight", "starts", F.coalesce(F.col("ways") * F.col("part"), none).alias("share")), "between-back")
         else:
-            below = level.withColumn("share", F.lit(0.0))
-        shares = shares.unionByName(below.select("node", "share"))
-    return shares.groupBy("node").agg(F.sum("share").alias("betweenness"))
+            below = level.withColumn("share", none)
+        shares = shares.unionByName(below.select("node", (F.col("starts") * F.col("share")).alias("share"), none.alias("out"), F.col("starts").alias("into")))
+        shares = shares.unionByName(below.select(F.col("start").alias("node"), none.alias("share"), F.col("weight").alias("out"), none.alias("into")))
+    # out and into: how many nodes outside what is folded into a node it reaches, and reach it
+    core = staged(shares.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("share", "out", "into")]).join(nodes, "node"), "between-core")
+    own = lambda df: df.select("node", "weight", "squares", "share", "out", "into")
+    done = known = own(core)
+    for leaves in reversed(folded):
+        above = known.select(F.col("node").alias("parent"), *[F.col(c).alias(f"p_{c}") for c in ("weight", "out", "into")])
+        beyond = lambda c: (F.col(f"p_{c}") + F.col("p_weight") - F.col("weight")).alias(c)
+        found = staged(own(leaves.join(above, "parent").select("node", "weight", "squares", F.lit(0.0).alias("share"), beyond("out"), beyond("into"))), "between-done")
+        done = known = done.unionByName(found)
+    branches = F.col("weight") - 1
+    return done.select("node", (F.col("share") + branches * branches - F.col("squares") + branches * (F.col("out") + F.col("into"))).alias("betweenness"))
 
 
 def louvain(edges: DataFrame, rounds: int = 8, levels: int = 3) -> DataFrame:
