@@ -48,3 +48,11 @@ def test_approximate_count_keeps_its_bound(spark, tmp_path):
     # 3,000 keys of which a sketch with Spark's own error of a twentieth makes 3,384
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").limit(1).drop("l_partkey").crossJoin(spark.range(181 * 3000, 182 * 3000).withColumnRenamed("id", "l_partkey"))
     assert catalogue.QUERIES["agg_approximate"](spark, beside(tmp_path, "lineitem", lines.withColumn("l_quantity", lines["l_quantity"] * 0 + 25))).first().asDict() == {"near": True, "middle": True}
+
+
+def test_accumulators_settle_ties(spark, tmp_path):
+    customers = spark.read.parquet(f"{SF}/customer.parquet")
+    twice = customers.crossJoin(spark.range(4)).selectExpr("c_custkey + id * 10000 AS c_custkey", *[c for c in customers.columns if c != "c_custkey"])
+    got = catalogue.QUERIES["stage_group_accumulators"](spark, beside(tmp_path, "customer", twice.orderBy("c_phone" if "c_phone" in customers.columns else "c_name", twice["c_custkey"].desc())))
+    want = {r["c_nationkey"]: (r["first"], r["last"]) for r in catalogue.QUERIES["stage_group_accumulators"](spark, SF).collect()}
+    assert {r["c_nationkey"]: (r["first"], r["last"]) for r in got.collect()} == want
