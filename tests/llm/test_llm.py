@@ -611,3 +611,17 @@ def test_pipeline_rows_by_operators(spark, odd, tmp_path):
         groups.setdefault((r["text"] or "").encode().lower(), []).append(r["doc_id"])
     assert two.columns == odd.columns and Counter(r["doc_id"] for r in two.collect()) == Counter(max(ids, key=lambda i: (i is not None, i or 0)) for ids in groups.values())
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_quality_threshold_is_of_all_labels(spark):
+    """All of 20,000 labelled rows decide: the kept share of good rows is met to the row, where a sample meets it to its own error."""
+    rng = random.Random(12)
+    measured = spark.createDataFrame([(i, 50, 200, 0, 0, 0, [rng.gauss(4, 1), rng.random() / 50, rng.random() / 9, 0.0] if i % 10 else [rng.uniform(6, 30), rng.random(), 0.1, 0.1]) for i in range(20_000)], "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, stats array<double>")
+    labels = spark.range(20_000).selectExpr("id AS doc_id", "CAST(id % 10 > 0 AS int) AS quality")
+    forest = quality.fit(measured, labels)
+    got = quality.judge(measured, forest).select("doc_id", "anomaly", "kept").collect()
+    good, bad = (sorted(r["anomaly"] for r in got if bool(r["doc_id"] % 10) == want) for want in (True, False))
+    at = good[math.ceil(0.985 * len(good)) - 1]
+    assert forest.threshold == pytest.approx((at + min(x for x in bad if x > at)) / 2, abs=1e-12)
+    scores = spark.createDataFrame([(x,) for x in good], "anomaly double")
+    assert [quality.level(scores, k, gather=20) for k in (0, 9000, len(good) - 1)] == [good[0], good[9000], good[-1]]

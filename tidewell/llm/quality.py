@@ -1,8 +1,8 @@
 """Quality rules and an isolation forest over their statistics.
 
 Rules count, over every whole text, what tells prose from junk. The statistics of a document go down trees of random
-splits; anomalous documents are isolated after few of them. The forest grows on a bounded sample of labelled rows, and
-the threshold on its anomaly score is calibrated on the same labels: of all thresholds that keep at least ``keep_share``
+splits; anomalous documents are isolated after few of them. Each tree of the forest grows on 256 rows of its own, drawn from all labelled rows, and
+the threshold on its anomaly score is calibrated on all labels: of all thresholds that keep at least ``keep_share``
 of the good rows, the one that keeps the fewest bad ones. Where there are no labels, all that pass the rules are kept.
 
 Words in repeats are found exactly: five-word windows are renamed to dense numbers by sorting, level by level.
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, sample_by_hash, slices, utf8
+from .common import SPACES, scratch, slices, staged, utf8
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -99,22 +99,25 @@ class Forest:
     @classmethod
     def grow(cls, x: np.ndarray, trees: int = 200, sample: int = 256, seed: int = 3) -> Forest:
         rng = np.random.default_rng(seed)
-        sample = min(sample, len(x))
+        return cls.grow_each([x[rng.choice(len(x), min(sample, len(x)), replace=False)] for _ in range(trees)], seed)
+
+    @classmethod
+    def grow_each(cls, samples: list[np.ndarray], seed: int = 3) -> Forest:
+        """A tree on each of the samples."""
+        rng, trees, sample = np.random.default_rng(seed), len(samples), max(map(len, samples))
         most = max(1, int(np.ceil(np.log2(max(2, sample)))))
         size = 2 ** (most + 1) - 1
         column, value = np.full((trees, size), -1), np.zeros((trees, size))
         depth = np.zeros((trees, size))
-        for t in range(trees):
-            stack = [(0, 0, rng.choice(len(x), sample, replace=False))]
+        for t, x in enumerate(samples):
+            stack = [(0, 0, np.arange(len(x)))]
             while stack:
                 node, d, own = stack.pop()
-                low, high = x[own].min(0), x[own].max(0)
-                wide = np.flatnonzero(high > low)
-                if d >= most or len(own) < 2 or not len(wide):
+                if d >= most or len(own) < 2 or not len(wide := np.flatnonzero(x[own].max(0) > x[own].min(0))):
                     depth[t, node] = d + average_path(len(own))
                     continue
                 k = rng.choice(wide)
-                v = rng.uniform(low[k], high[k])
+                v = rng.uniform(x[own, k].min(), x[own, k].max())
                 column[t, node], value[t, node] = k, v
                 left = x[own, k] <= v
                 stack += [(2 * node + 1, d + 1, own[left]), (2 * node + 2, d + 1, own[~left])]
@@ -138,33 +141,81 @@ def average_path(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def calibrated(forest: Forest, x: np.ndarray, good: np.ndarray, keep_share: float) -> float:
-    own = np.sort(forest.score(x[good]))
-    if not len(own):
-        return np.inf
-    at = min(len(own) - 1, int(np.ceil(keep_share * len(own))) - 1)
-    upper = forest.score(x[~good])
-    higher = upper[upper > own[at]]
-    return float((own[at] + higher.min()) / 2) if len(higher) else np.inf
+def level(scores: DataFrame, rank: int, least: float = 0.0, most: float = 1.0, bins: int = 1024, gather: int = 10_000) -> float:
+    """The exact value at a rank (from 0) of column ``anomaly``: the range is narrowed to the bin that has it until few enough values are left to be gathered."""
+    while True:
+        own = scores.where((F.col("anomaly") >= least) & (F.col("anomaly") <= most))
+        width = (most - least) / bins
+        place = F.least(F.floor((F.col("anomaly") - least) / width), F.lit(bins - 1)).cast("int") if width > 0 else F.lit(0)
+        found = {r["b"]: r for r in own.groupBy(place.alias("b")).agg(F.count("*").alias("n"), F.min("anomaly").alias("low"), F.max("anomaly").alias("high")).collect()}
+        for b in sorted(found):
+            if rank < found[b]["n"]:
+                break
+            rank -= found[b]["n"]
+        low, high, n = found[b]["low"], found[b]["high"], found[b]["n"]
+        if low == high:
+            return low
+        if n <= gather:
+            return sorted(r[0] for r in own.where((F.col("anomaly") >= low) & (F.col("anomaly") <= high)).select("anomaly").collect())[rank]
+        least, most = low, high
+
+
+def fit(docs: DataFrame, labels: DataFrame, keep_share: float = 0.985, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", trees: int = 200, sample: int = 256) -> Forest | None:
+    """Grows and calibrates on all labelled rows; label 1 is good. Of repeated labels of an id the largest counts. docs may be what ``measure`` made of them.
+
+    Each tree takes its own ``sample`` rows, as isolation trees do, by least hash of id and tree among all that pass the rules, bad ones with a chance that
+    leaves ``BAD_SHARE`` of them for each good one. The threshold is found over the scores of all.
+    """
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.max("y").alias("y"))
+    rows = docs if "stats" in docs.columns else measure(docs, id_col, text_col)
+    with scratch():
+        passing = ~((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+        own = staged(rows.where(passing).join(known, "id").select(F.xxhash64(F.lit(303), "id").alias("h"), (F.col("y") == 1).alias("good"), "stats"), "labelled")
+        n = {r["good"]: r["count"] for r in own.groupBy("good").count().collect()}
+        n_good, n_bad = n.get(True, 0), n.get(False, 0)
+        if n_good < 10:
+            return None
+        bad_share = min(1.0, np.ceil(BAD_SHARE * n_good) / max(1, n_bad))
+        drawn = n_good + bad_share * n_bad
+        chance = min(1.0, (sample + 6 * sample**0.5 + 20) / drawn)  # of each tree's least hashes; too few come once in a billion trees
+
+        def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seeds = np.random.default_rng(3).integers(0, 1 << 64, trees, dtype=np.uint64)
+            for part in slices(batches, 4096):
+                h, good = part.column(0).to_numpy().view(np.uint64), np.array(part.column(1).to_pylist(), bool)
+                x = (h[:, None] ^ seeds) * np.uint64(0x9E3779B97F4A7C15)
+                x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+                unit = (x >> np.uint64(11)) / float(1 << 53) / np.where(good, 1.0, bad_share)[:, None]
+                row, tree = np.nonzero(unit < chance)
+                yield pa.RecordBatch.from_arrays([pa.array(tree.astype(np.int32)), pa.array(unit[row, tree]), part.column(2).take(pa.array(row))], names=["tree", "at", "stats"])
+
+        got = own.mapInArrow(draw, "tree int, at double, stats array<double>").toArrow()  # some 370 rows a tree
+        tree, at, x = got["tree"].to_numpy(), got["at"].to_numpy(), np.array(got["stats"].to_pylist()).reshape(-1, len(STATISTICS))
+        order = np.lexsort((*x.T, at, tree))
+        starts = np.searchsorted(tree[order], np.arange(trees + 1))
+        forest = Forest.grow_each([x[order[a:b][:sample]] for a, b in zip(starts[:-1], starts[1:], strict=True)])
+        scores = staged(own.mapInArrow(_scorer(docs, forest), "good boolean, anomaly double"), "label-scores")
+        rank = min(n_good - 1, int(np.ceil(keep_share * n_good)) - 1)
+        top = level(scores.where("good"), rank)
+        higher = scores.where(~F.col("good") & (F.col("anomaly") > top)).agg(F.min("anomaly")).first()[0]
+        forest.threshold = np.inf if higher is None else float((top + higher) / 2)
+        return forest
+
+
+def _scorer(docs: DataFrame, forest: Forest):
+    shared = docs.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 4096):
+            x = np.array(part.column(2).to_pylist()).reshape(part.num_rows, len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(shared.value.score(x), pa.float64())], names=["good", "anomaly"])
+
+    return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows_most: int = 6000, keep_share: float = 0.985, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Forest | None:
-    """Grows and calibrates on a hashed sample of at most about rows_most labelled rows; label 1 is good. Of repeated labels of an id the largest counts."""
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.max("y").alias("y"))
-    n = known.count()
-    if not n:
-        return None
-    picked = sample_by_hash(known, F.lit(min(1.0, rows_most / n)), 303)  # a few thousand ids and labels by that bound
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
-    got = _measured(texts.select("id", "text", "y"), ["id", "y"]).toArrow().sort_by([("id", "ascending")]).to_pydict()
-    ok = [not base_failed(w, r) for w, r in zip(got["n_words"], got["n_repeat_words"], strict=True)]
-    x, good = np.array([s for s, k in zip(got["stats"], ok, strict=True) if k]).reshape(-1, len(STATISTICS)), np.array([y == 1 for y, k in zip(got["y"], ok, strict=True) if k], bool)
-    if good.sum() < 10:
-        return None
-    few = np.flatnonzero(~good)[: int(np.ceil(BAD_SHARE * good.sum()))]
-    forest = Forest.grow(x[np.concatenate([np.flatnonzero(good), few])])
-    forest.threshold = calibrated(forest, x, good, keep_share)
-    return forest
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, the five rule counts and the statistics of each row, for ``fit`` and ``judge`` to read without the texts."""
+    return _measured(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ["id"])
 
 
 def _measured(rows: DataFrame, carry: list[str]) -> DataFrame:
@@ -182,18 +233,17 @@ RULES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def judge(docs: DataFrame, forest: Forest | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id, the five rule counts, anomaly, base_failed, kept."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """One row for each row of docs: id, the five rule counts, anomaly, base_failed, kept. docs may be what ``measure`` made of them."""
+    rows = docs if "stats" in docs.columns else measure(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(forest)  # bounded: trees by nodes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = shared.value
-        for part in slices(batches):
-            got = [rules(t) for t in utf8(part.column(1))]
-            x = np.array([g[5] for g in got]).reshape(len(got), len(STATISTICS))
-            anomaly = np.zeros(len(got)) if forest is None else forest.score(x)
-            failed = np.array([base_failed(g[0], g[4]) for g in got], bool)
+        for part in slices(batches, 4096):
+            x = np.array(part.column("stats").to_pylist()).reshape(part.num_rows, len(STATISTICS))
+            anomaly = np.zeros(len(x)) if forest is None else forest.score(x)
+            failed = np.array([base_failed(w, r) for w, r in zip(part.column("n_words").to_pylist(), part.column("n_repeat_words").to_pylist(), strict=True)], bool)
             kept = ~failed & (anomaly <= (np.inf if forest is None else forest.threshold))
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([g[k] for g in got], pa.int64()) for k in range(5)), pa.array(anomaly, pa.float64()), pa.array(failed), pa.array(kept)], names=[id_col, *RULES, "anomaly", "base_failed", "kept"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), *(part.column(c) for c in RULES), pa.array(anomaly, pa.float64()), pa.array(failed), pa.array(kept)], names=[id_col, *RULES, "anomaly", "base_failed", "kept"])
 
     return rows.mapInArrow(run, f"{id_col} {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"{r} long" for r in RULES) + ", anomaly double, base_failed boolean, kept boolean")
